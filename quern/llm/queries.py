@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from pyspark.sql import functions as F
+
+from . import jaccard_join, lm_scoring, substring_dedup
 from .shared import table
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=75)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats_digest(table(spark, sf_dir, "documents"), length=35)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the turns of all conversations; background: all documents."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), turns)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_substring_dedup,)}
+    return {f.__name__: f for f in (op4_ngram_jaccard, op9_substring_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

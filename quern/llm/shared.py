@@ -192,24 +192,34 @@ class Slices:
         return [(int(p), int(at[p]), int(at[p + 1])) for p in np.flatnonzero(np.diff(at))]
 
 
+def pack32(x: np.ndarray) -> bytes:
+    """uint32 numbers, all lowest bytes first: small numbers leave runs of zeros, which shuffles compress away."""
+    return np.ascontiguousarray(x, dtype="<u4").reshape(-1, 1).view(np.uint8).T.tobytes()
+
+
+def unpack32(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def segments(chunk: int, u: np.ndarray, weights: np.ndarray, slices: Slices) -> pa.Table:
     """Sorted distinct reduced hashes of a chunk, packed by slice; weights: uint32, one row or several a hash."""
     w = np.ascontiguousarray(weights, dtype=np.uint32).reshape(-1, len(u))
     kind = np.uint64 if slices.width == 8 else np.uint32
-    rows = [(p, u[a:b].astype(kind).tobytes(), w[:, a:b].tobytes()) for p, a, b in slices.cut(u)]
+    rows = [(p, u[a:b].astype(kind).tobytes(), pack32(w[:, a:b])) for p, a, b in slices.cut(u)]
     return pa.table({
         "_part": pa.array([r[0] for r in rows], pa.int32()), "_chunk": pa.array([chunk] * len(rows), pa.int32()),
         "vals": pa.array([r[1] for r in rows], pa.binary()), "weights": pa.array([r[2] for r in rows], pa.binary()),
     })
 
 
-def add_up(segs: DataFrame, slices: Slices, kind: int, respond, n_weights: int = 1) -> DataFrame:
+def add_up(segs: DataFrame, slices: Slices, kind: int, respond, n_weights: int = 1, summary=None) -> DataFrame:
     """Adds the weights of each hash over all segments of its slice; ``respond`` turns the sums (n_weights x m, int64)
-    that belong to one segment into the bytes sent back to its chunk."""
+    that belong to one segment into the bytes sent back to its chunk. ``summary`` turns the sums of a whole slice into
+    bytes, which come as a row with _chunk -1."""
     dtype = np.uint64 if slices.width == 8 else np.uint32
 
     def run(batches):
-        rows = [(p, c, np.frombuffer(v, dtype), np.frombuffer(w, np.uint32).reshape(n_weights, -1)) for b in batches for p, c, v, w in zip(*(b.column(n).to_pylist() for n in ("_part", "_chunk", "vals", "weights")), strict=True)]
+        rows = [(p, c, np.frombuffer(v, dtype), unpack32(w).reshape(n_weights, -1)) for b in batches for p, c, v, w in zip(*(b.column(n).to_pylist() for n in ("_part", "_chunk", "vals", "weights")), strict=True)]
         by: dict[int, list] = {}
         for r in rows:
             by.setdefault(r[0], []).append(r)
@@ -218,6 +228,8 @@ def add_up(segs: DataFrame, slices: Slices, kind: int, respond, n_weights: int =
             u, where = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
             sums = np.stack([np.bincount(where, weights=np.concatenate([r[3][k] for r in rows]), minlength=len(u)) for k in range(n_weights)]).astype(np.int64)
             at = np.cumsum([0, *(len(r[2]) for r in rows)])
+            if summary is not None:
+                yield pa.RecordBatch.from_pydict({"_chunk": pa.array([-1], pa.int32()), "_kind": pa.array([kind], pa.int32()), "_part": pa.array([part], pa.int32()), "data": pa.array([summary(sums)], pa.binary())})
             yield pa.RecordBatch.from_pydict({
                 "_chunk": pa.array([r[1] for r in rows], pa.int32()), "_kind": pa.array([kind] * len(rows), pa.int32()), "_part": pa.array([part] * len(rows), pa.int32()),
                 "data": pa.array([respond(sums[:, where[a:b]]) for a, b in zip(at, at[1:], strict=False)], pa.binary()),
