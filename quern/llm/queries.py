@@ -6,15 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_scoring, substring_dedup
+from . import jaccard_join, lm_scoring, mixing, sharding, substring_dedup
 from .shared import table
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+    return placed.select("doc_id", "size", F.coalesce("text_crc32", F.lit(0)).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=75)
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), cap=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats_digest(table(spark, sf_dir, "documents"), length=35)
 
@@ -26,7 +35,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_ngram_jaccard, op9_substring_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op2_sharding, op4_ngram_jaccard, op6_mixing, op9_substring_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
