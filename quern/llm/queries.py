@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_scoring, mixing, sharding, substring_dedup
+from . import decontam, jaccard_join, lm_scoring, mixing, sharding, substring_dedup
 from .shared import table
 
 
@@ -24,6 +24,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), cap=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), length=10, carry=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats_digest(table(spark, sf_dir, "documents"), length=35)
 
@@ -35,7 +40,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op4_ngram_jaccard, op6_mixing, op9_substring_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op2_sharding, op4_ngram_jaccard, op6_mixing, op8_decontamination, op9_substring_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
