@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard_join, lm_scoring, mixing, sharding, substring_dedup
+from . import decontam, jaccard_join, lm_scoring, mixing, sharding, substring_dedup, token_counts, topk
 from .shared import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections: the lines of each document; a token belongs to the line of its first byte."""
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), rule="start", carry=["doc_id"])
+    return counted.select("doc_id", "n_tokens", "n_sections", "n_crossing", F.transform("section_tokens", lambda x: x.cast("long")).alias("section_tokens"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
     return placed.select("doc_id", "size", F.coalesce("text_crc32", F.lit(0)).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
@@ -20,6 +26,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)), k=20)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), cap=3).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,7 +50,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sharding, op4_ngram_jaccard, op6_mixing, op8_decontamination, op9_substring_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op4_ngram_jaccard, op5_exact_top_k, op6_mixing, op8_decontamination, op9_substring_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
