@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard_join, lm_scoring, mixing, sharding, substring_dedup, token_counts, topk
+from . import decontam, jaccard_join, lm_scoring, mixing, sharding, substring_dedup, token_counts, topk, toxicity
 from .shared import table
 
 
@@ -21,6 +21,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", F.coalesce("text_crc32", F.lit(0)).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labelled rows that aren't held out, at most toxicity.MOST_LABELLED of each kind."""
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    return toxicity.score_documents(documents, model, carry=["doc_id"]).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=75)
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
@@ -50,7 +57,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op4_ngram_jaccard, op5_exact_top_k, op6_mixing, op8_decontamination, op9_substring_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_toxicity, op4_ngram_jaccard, op5_exact_top_k, op6_mixing, op8_decontamination, op9_substring_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

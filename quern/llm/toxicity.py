@@ -161,8 +161,9 @@ def _grams(word: bytes) -> set[bytes]:
     return {w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1)} | {w}
 
 
-def marked_words(docs: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
-    """The words with a byte n-gram (or that are a word) found in toxic documents far beyond chance."""
+def marked_words(docs: list[list[bytes]], toxic: np.ndarray, purity: float) -> set[bytes]:
+    """The words with a byte n-gram (or that are a word) found in toxic documents far beyond chance, and of all
+    documents in toxic ones to more than ``purity``."""
     seen: dict = {True: Counter(), False: Counter()}
     for words, t in zip(docs, toxic, strict=True):
         seen[bool(t)].update(set(words))
@@ -180,11 +181,11 @@ def marked_words(docs: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
     for g, k in counts[True].items():
         n = k + counts[False][g]
         q = k / n
-        if q > 0.95 and k >= 4:
+        if q > max(purity, p) and k >= 4:
             divergence = q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)
             if -n * divergence < limit:
                 strong.add(g)
-    return {w for w, n in seen[True].items() if _grams(w) & strong and seen[False][w] <= 0.05 * n}
+    return {w for w, n in seen[True].items() if _grams(w) & strong and seen[False][w] <= (1 - purity) * n}
 
 
 def _epochs(n: int, batch: int, epochs: int, rng):
@@ -250,7 +251,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     toxic = np.asarray(labels) > 0
     model.prior = float(toxic.mean()) if len(toxic) else 0.0
     apart = _apart(docs)
-    marked = marked_words([docs[i] for i in apart], toxic[apart])
+    marked = marked_words([docs[i] for i in apart], toxic[apart], 0.95)
+    open_ = [i for i in apart if not (toxic[i] and marked & set(docs[i]))]  # toxic documents that these words don't explain
+    marked |= marked_words([docs[i] for i in open_], toxic[open_], 0.7)
     if not marked:
         return model
     # Characters: which words are marked; then again with the unmarked words that look most like them.
