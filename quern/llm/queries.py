@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard_join, lm_scoring, mixing, sharding, substring_dedup, token_counts, topk, toxicity
+from . import decontam, html_extract, jaccard_join, lm_scoring, mixing, sharding, substring_dedup, token_counts, topk, toxicity
 from .shared import table
 
 
@@ -41,6 +41,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), cap=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages), carry=["page_id", "url"])
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), length=10, carry=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -57,7 +62,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_toxicity, op4_ngram_jaccard, op5_exact_top_k, op6_mixing, op8_decontamination, op9_substring_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_toxicity, op4_ngram_jaccard, op5_exact_top_k, op6_mixing, op7_html_extraction, op8_decontamination, op9_substring_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
