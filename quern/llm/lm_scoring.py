@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SEGMENT, LOWER_WORDS, Slices, Words, add_up, chunks_for, deal, pack32, partitions, rows_of, segments, settle, unpack32, volume, windows
+from .shared import SEGMENT, LOWER_WORDS, Slices, Words, add_up, answers, chunks_for, deal, pack32, partitions, rows_of, segments, unpack32, volume, windows
 
 _UNKNOWN = np.uint64(0x5851F42D4C957F2D)
 
@@ -93,9 +93,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, min_count: int
         return np.array([known.sum(), *sums.sum(1), *sums[:, ~known].sum(1)], np.int64).tobytes()
 
     sent = text.groupBy("_chunk").applyInArrow(words_of(False), SEGMENT).union(goal.groupBy("_chunk").applyInArrow(words_of(True), SEGMENT))
-    single = settle(add_up(sent, slices, 1, _respond, 2, summary))
-    totals = sum((np.frombuffer(r.data, np.int64) for r in single.filter("_chunk = -1").select("data").toLocalIterator()), np.zeros(5, np.int64))
-    vocabulary, size, unknown = int(totals[0]), totals[1:3], totals[3:5]
+    single = add_up(sent, slices, 1, _respond, 2, summary, [*range(n), *range(-1 - m, -1)])
 
     def pairs_of(is_target: bool):
         def send(key, part, side):
@@ -112,6 +110,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, min_count: int
 
     def score(key, part, side):
         chunk = _Chunk(part)
+        totals = answers(side, 101, np.int64).reshape(-1, 5).sum(0)
+        vocabulary, size, unknown = int(totals[0]), totals[1:3], totals[3:5]
         hashes, ok = chunk.known(side, min_count)
         uni = _Side(side, 1).counts[:, chunk.where] if len(chunk.where) else np.zeros((2, 0), np.int64)
         uni = np.where(ok, uni, unknown[:, None])

@@ -22,6 +22,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +30,18 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))  # single machine only
+    return spark.sparkContext.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` as written to the cluster's shared checkpoint folder; its lineage is cut there."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))  # single machine only
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -141,6 +149,17 @@ def rows_of(part: pa.Table | pa.RecordBatch, name: str) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def pieces(batches, name: str, most: int = 2 << 20):
+    """Record batches cut so that each holds about ``most`` bytes of a text column (or one row)."""
+    for batch in batches:
+        size = np.cumsum([0, *((x or 0) + 1 for x in pc.binary_length(batch.column(name)).to_pylist())])
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(size, size[start] + most, side="right")) - 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def volume(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
@@ -201,25 +220,34 @@ def unpack32(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
+def pack_sorted(u: np.ndarray, width: int) -> bytes:
+    """Sorted numbers as their differences, bytes of one weight together: the leading planes are mostly zeros."""
+    step = np.diff(u.astype(np.uint64), prepend=np.uint64(0)).astype(f"<u{width}")
+    return step.reshape(-1, 1).view(np.uint8).T.tobytes()
+
+
+def unpack_sorted(data: bytes, width: int) -> np.ndarray:
+    step = np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel()
+    return np.cumsum(step, dtype=f"<u{width}")
+
+
 def segments(chunk: int, u: np.ndarray, weights: np.ndarray, slices: Slices) -> pa.Table:
     """Sorted distinct reduced hashes of a chunk, packed by slice; weights: uint32, one row or several a hash."""
     w = np.ascontiguousarray(weights, dtype=np.uint32).reshape(-1, len(u))
-    kind = np.uint64 if slices.width == 8 else np.uint32
-    rows = [(p, u[a:b].astype(kind).tobytes(), pack32(w[:, a:b])) for p, a, b in slices.cut(u)]
+    low = np.uint64(2 ** (8 * slices.width) - 1)
+    rows = [(p, pack_sorted(u[a:b] & low, slices.width), pack32(w[:, a:b])) for p, a, b in slices.cut(u)]
     return pa.table({
         "_part": pa.array([r[0] for r in rows], pa.int32()), "_chunk": pa.array([chunk] * len(rows), pa.int32()),
         "vals": pa.array([r[1] for r in rows], pa.binary()), "weights": pa.array([r[2] for r in rows], pa.binary()),
     })
 
 
-def add_up(segs: DataFrame, slices: Slices, kind: int, respond, n_weights: int = 1, summary=None) -> DataFrame:
+def add_up(segs: DataFrame, slices: Slices, kind: int, respond, n_weights: int = 1, summary=None, all_chunks=()) -> DataFrame:
     """Adds the weights of each hash over all segments of its slice; ``respond`` turns the sums (n_weights x m, int64)
     that belong to one segment into the bytes sent back to its chunk. ``summary`` turns the sums of a whole slice into
-    bytes, which come as a row with _chunk -1."""
-    dtype = np.uint64 if slices.width == 8 else np.uint32
-
+    bytes; every chunk of ``all_chunks`` gets those of all slices, as kind + 100."""
     def run(batches):
-        rows = [(p, c, np.frombuffer(v, dtype), unpack32(w).reshape(n_weights, -1)) for b in batches for p, c, v, w in zip(*(b.column(n).to_pylist() for n in ("_part", "_chunk", "vals", "weights")), strict=True)]
+        rows = [(p, c, unpack_sorted(v, slices.width), unpack32(w).reshape(n_weights, -1)) for b in batches for p, c, v, w in zip(*(b.column(n).to_pylist() for n in ("_part", "_chunk", "vals", "weights")), strict=True)]
         by: dict[int, list] = {}
         for r in rows:
             by.setdefault(r[0], []).append(r)
@@ -229,7 +257,8 @@ def add_up(segs: DataFrame, slices: Slices, kind: int, respond, n_weights: int =
             sums = np.stack([np.bincount(where, weights=np.concatenate([r[3][k] for r in rows]), minlength=len(u)) for k in range(n_weights)]).astype(np.int64)
             at = np.cumsum([0, *(len(r[2]) for r in rows)])
             if summary is not None:
-                yield pa.RecordBatch.from_pydict({"_chunk": pa.array([-1], pa.int32()), "_kind": pa.array([kind], pa.int32()), "_part": pa.array([part], pa.int32()), "data": pa.array([summary(sums)], pa.binary())})
+                n = len(all_chunks)
+                yield pa.RecordBatch.from_pydict({"_chunk": pa.array(all_chunks, pa.int32()), "_kind": pa.array([kind + 100] * n, pa.int32()), "_part": pa.array([part] * n, pa.int32()), "data": pa.array([summary(sums)] * n, pa.binary())})
             yield pa.RecordBatch.from_pydict({
                 "_chunk": pa.array([r[1] for r in rows], pa.int32()), "_kind": pa.array([kind] * len(rows), pa.int32()), "_part": pa.array([part] * len(rows), pa.int32()),
                 "data": pa.array([respond(sums[:, where[a:b]]) for a, b in zip(at, at[1:], strict=False)], pa.binary()),
