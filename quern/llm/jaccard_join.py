@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ANSWER, LOWER_WORDS, SEGMENT, Slices, Words, add_up, answers, chunk_of, chunks_for, deal, mix64, partitions, rows_of, segments, settle, volume, windows
+from .shared import ANSWER, LOWER_WORDS, SEGMENT, Slices, Words, add_up, answers, chunk_of, chunks_for, deal, mix64, partitions, pieces, rows_of, segments, settle, volume, windows
 
 #: Documents that a block holds on average where one family fills several.
 BLOCK_DOCS = 256
@@ -59,18 +59,22 @@ def _prefix(size: int, threshold: int) -> int:
     return size - -(-threshold * size // 100) + 1
 
 
+def row_key():
+    return F.xxhash64("doc_id", "text")
+
+
 def describe(docs: DataFrame, n: int, n_chunks: int) -> DataFrame:
-    """doc_id, _chunk, n_shingles and the signature of each document."""
+    """doc_id, row_key, _chunk, n_shingles and the signature of each document."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, "text"):
             sets = shingle_sets(rows_of(b, "text"), n)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("doc_id"), "_chunk": b.column("_chunk"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([signature(s) for s in sets], pa.binary()),
+                "doc_id": b.column("doc_id"), "row_key": b.column("row_key"), "_chunk": b.column("_chunk"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([signature(s) for s in sets], pa.binary()),
             })
 
-    return docs.select("doc_id", chunk_of(n_chunks, "doc_id", "text"), "text").mapInArrow(run, f"doc_id {kind}, _chunk int, n_shingles long, sig binary")
+    return docs.select("doc_id", row_key().alias("row_key"), chunk_of(n_chunks, "doc_id", "text"), "text").mapInArrow(run, f"doc_id {kind}, row_key long, _chunk int, n_shingles long, sig binary")
 
 
 class _Chunk:
@@ -267,7 +271,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach, its own included), n_links (to other
-    documents, copies counted) and class_sig (equal for equal sets) of every row.
+    documents, copies counted), class_sig (equal for equal sets), root (equal within a component; null without words) and row_key of every row.
 
     Null and empty texts have n_shingles 0, link with nothing and keep their own doc_id as component_id. Rows with a
     null doc_id take part; a component's id is the least that isn't null (null if all are). Repeated rows are copies
@@ -283,8 +287,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFra
     roots = components(found.select(F.col("sig").alias("x"), F.col("root").alias("y")))
     least = classes.select("sig", "copies", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    least = least.join(found.groupBy("sig").agg(F.sum("n_links").alias("n")), "sig", "left").select("sig", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = least.join(found.groupBy("sig").agg(F.sum("n_links").alias("n")), "sig", "left").select("sig", "root", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     some = F.col("n_shingles") > 0
     return sigs.join(least, "sig", "left").select(
-        "doc_id", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("n_links")).otherwise(0).alias("n_links"), F.col("sig").alias("class_sig")
+        "doc_id", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("n_links")).otherwise(0).alias("n_links"), F.col("sig").alias("class_sig"), "root", "row_key"
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFrame:
+    """The rows of ``docs`` without those that repeat, nearly or exactly, another row's text: of each component one row
+    with the least doc_id (a null one last) stays. Rows without words all stay."""
+    found = near_duplicates(docs, n, threshold)
+    chosen = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("open"), "doc_id", "row_key")).alias("m")).select("m.doc_id", "m.row_key")
+    same = found.filter("n_shingles > 0").groupBy("doc_id", "row_key").agg(F.count("*").alias("rows"))
+    chosen = settle(chosen.alias("c").join(same.alias("s"), (F.col("c.row_key") == F.col("s.row_key")) & F.col("c.doc_id").eqNullSafe(F.col("s.doc_id"))).select(F.col("c.doc_id").alias("_id"), F.col("c.row_key").alias("_key"), "rows"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(worded).withColumn("_own", row_key())
+    stay = lambda rows: keyed.join(rows, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    once, often = stay(chosen.filter("rows = 1")), stay(chosen.filter("rows > 1")).dropDuplicates(["_own"])
+    return once.union(often).drop("_own").union(docs.filter(~worded))

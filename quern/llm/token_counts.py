@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import rows_of
+from .shared import pieces, rows_of
 
 #: The public byte-level BPE split pattern, and the most bytes of a vocabulary file that are broadcast.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -127,7 +127,7 @@ def count_tokens(docs: DataFrame, sections: str | None = None, rule: str = "star
 
     def run(batches):
         encoder = _encoder(content.value, pattern)
-        for batch in batches:
+        for batch in pieces(batches, "_text"):
             out: list[list] = [[], [], [], [], []]
             given = batch.column("_sections").to_pylist() if sections is not None else [None] * batch.num_rows
             for text, data, own in zip(batch.column("_text").to_pylist(), rows_of(batch, "_text"), given, strict=True):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .recurrent import F4, Adam, GRUAttention, sigmoid
-from .shared import mix64, rows_of, windows
+from .shared import mix64, pieces, rows_of, windows
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 24
@@ -338,7 +338,7 @@ def score_documents(docs: DataFrame, model: Model, carry: list[str] | None = Non
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in pieces(batches, "_text"):
             score = probability(shared.value, scorer(rows_of(batch, "_text"))).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
