@@ -15,10 +15,12 @@ other word of the text is one more symbol. Training text is never shuffled.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import LOWER_ALNUM, Words, rows_of
 
@@ -205,11 +207,25 @@ def phrase_blocks(benchmark: DataFrame, length: int, block_words: int):
         yield Phrases(items, length)
 
 
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def without(text: bytes, spans: list[dict]) -> bytes:
+    """The text without the spans (in words), each with what stands between its words; one space is left in place."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for s in spans:
+        out.append(text[at : words[s["start"]][0]])
+        at = words[s["end"] - 1][1]
+    left, rest = b" ".join(x.rstrip(b" ") for x in out), text[at:]
+    return left + (b" " if left and rest[:1] not in (b" ", b"\n", b"") else b"") + rest
+
+
 SPANS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,end:int>>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, block_words: int = BLOCK_WORDS, carry: list[str] | None = None) -> DataFrame:
-    """The columns of ``docs`` (those in ``carry``, if given) and, of every row: n_words, n_hit (words inside any occurrence), n_items (items with
+def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, block_words: int = BLOCK_WORDS, carry: list[str] | None = None, cut: bool = False) -> DataFrame:
+    """The columns of ``docs`` (with ``cut``, without the spans in text; those in ``carry``, if given) and, of every row: n_words, n_hit (words inside any occurrence), n_items (items with
     occurring windows), items_sha256 (of those item_ids, sorted as strings, joined by commas), contaminated,
     items (those item_ids) and spans (merged, in words, end excluded). Columns of ``docs`` with these names are replaced.
 
@@ -246,6 +262,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10,
         n_hit = [sum(s["end"] - s["start"] for s in x) for x in spans]
         names = [sorted(x) for x in items]
         out = rows
+        if cut:
+            texts = rows_of(rows, "text")
+            texts = [without(t, own) if own else t for t, own in zip(texts, spans, strict=True)]
+            out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
         for name, column in (
             ("n_words", pa.array(np.diff(words.at), pa.int64())), ("n_hit", pa.array(n_hit, pa.int64())), ("n_items", pa.array([len(x) for x in names], pa.int64())),
             ("items_sha256", pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string())), ("contaminated", pa.array([x > 0 for x in n_hit], pa.bool_())),
@@ -275,3 +295,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10,
 
     schema = ", ".join([*(f"`{c.replace('`', '``')}` {k}" for c, k in kept.dtypes), SPANS])
     return read.mapInArrow(run, schema)
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
+    """``docs`` without the benchmark's passages in text (n_chars, if there, follows); a document that held some and of which no word is left
+    goes. Clean rows, empty and null ones among them, stay as they are."""
+    found = find_contamination(docs, benchmark, length, cut=True).filter("not contaminated or n_hit < n_words")
+    made = found.select(*docs.columns, "contaminated")
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.when(F.col("contaminated"), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return made.select(*docs.columns)

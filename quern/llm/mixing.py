@@ -70,15 +70,12 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", (F.col("start") + F.when(F.col("words") < 2 * F.col("left"), 1).otherwise(0)).alias("threshold"))
 
 
-def mix(docs: DataFrame, cap: int = 3, weight=None) -> DataFrame:
-    """doc_id, size (words), source, source_size, target (of its source) and taken (words the mix takes, repeats
-    counted) of every row.
+#: Sources up to which their plan is broadcast: about 100 bytes each.
+MOST_BROADCAST = 20_000
 
-    ``weight``: a column of ``place`` (the source's number by code point, null last); by default 1, 2, 3, repeating. Null
-    texts have size 0; null is a source like any other; rows with one doc_id are taken or left together within a source
-    (a null doc_id counts as one), so the mix misses a target by less than such a group's words. Without words, all targets
-    are 0. An empty table gives an empty result. No row is taken more than ``cap`` times.
-    """
+
+def plan(docs: DataFrame, cap: int, weight) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, hash) of every row, and (_name, source_size, target, whole, threshold) of every source."""
     weight = F.pmod("place", F.lit(3)) + 1 if weight is None else weight
     slim = settle(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), document_hash().alias("hash")))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -87,12 +84,30 @@ def mix(docs: DataFrame, cap: int = 3, weight=None) -> DataFrame:
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = goal.withColumn("whole", whole.cast("long")).withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     limit = thresholds(slim, goal.filter("source_size > 0 and budget > 0"))
-    plan = goal.alias("g").join(limit.alias("t"), F.col("g.source").eqNullSafe(F.col("t.source")), "left").select(F.col("g.source").alias("_name"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
-    taken = F.col("size") * (F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0))
-    return slim.join(plan, F.col("source").eqNullSafe(F.col("_name"))).select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))
+    both = goal.alias("g").join(limit.alias("t"), F.col("g.source").eqNullSafe(F.col("t.source")), "left")
+    by_source = settle(both.select(F.col("g.source").alias("_name"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")))
+    return slim, F.broadcast(by_source) if by_source.count() <= MOST_BROADCAST else by_source
+
+
+def _copies():
+    return F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, cap: int = 3, weight=None) -> DataFrame:
+    """doc_id, size (words), source, source_size, target (of its source) and taken (words the mix takes, repeats
+    counted) of every row.
+
+    ``weight``: a column of ``place`` (the source's number by code point, null last); by default 1, 2, 3, repeating. Null
+    texts have size 0; null is a source like any other; rows with one doc_id are taken or left together within a source
+    (a null doc_id counts as one), so the mix misses a target by at most half of such a group's words. Without words, all targets
+    are 0. An empty table gives an empty result. No row is taken more than ``cap`` times.
+    """
+    slim, by_source = plan(docs, cap, weight)
+    return slim.join(by_source, F.col("source").eqNullSafe(F.col("_name"))).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, cap: int = 3, weight=None) -> DataFrame:
-    """The columns of ``docs`` for the rows that the mix takes at least once, and copies (how often), for writing out."""
-    plan = mix(docs, cap, weight).select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int").alias("copies")).distinct()
-    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from"))).filter("copies > 0").drop("_id", "_from")
+    """The columns of ``docs`` for the rows that the mix takes at least once, and copies, how often."""
+    _, by_source = plan(docs, cap, weight)
+    rows = docs.withColumn("hash", document_hash()).join(by_source, docs["source"].eqNullSafe(F.col("_name")))
+    return rows.select(*(docs[c] for c in docs.columns), _copies().cast("int").alias("copies")).filter("copies > 0")
