@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, jaccard_join, lm_scoring, mixing, sharding, substring_dedup, token_counts, topk, toxicity
+from . import decontam, html_extract, jaccard_join, lm_scoring, mixing, oracles, sharding, substring_dedup, token_counts, topk, toxicity
 from .shared import table
 
 
@@ -58,7 +58,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the turns of all conversations; background: all documents."""
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")
-    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), turns)
+    scored = lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), turns)
+    return scored.select("doc_id", "n_words", "n_unknown", *(F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")))
 
 
 def queries() -> dict:
@@ -66,4 +67,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for those queries that it can express; the others are tested against brute force or held-out rows."""
+    return {name: oracles.SQL[n] for name in queries() if (n := int(name[2:].split("_")[0])) in oracles.SQL}
