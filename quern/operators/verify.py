@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import METHODS, compression_fields, empty, label, ratio_percent
 
@@ -31,7 +32,7 @@ def blake2sp(data: bytes) -> bytes:
     return root.digest()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def blake2sp_udf(payload: pd.Series) -> pd.Series:
     return payload.map(lambda x: None if x is None else blake2sp(bytes(x)))
 
