@@ -38,11 +38,11 @@ def blake2sp_udf(payload: pd.Series) -> pd.Series:
 
 
 def assembled(blocks: DataFrame) -> DataFrame:
-    """Logical files: an opener and the pieces that continue it, in order of volume and block. complete: the run has
+    """Logical files: an opener and the pieces that continue it in the next volumes, without a gap. complete: the run has
     its opener and its last piece; parts_ok: every leading piece has the checksum of its bytes."""
     order = Window.partitionBy("archive_id").orderBy("volume", "block")
     own = blocks.filter(is_file()).select("archive_id", "volume", "block", "family", "name", "size", "mtime", "crc", "info", "is_directory", "is_encrypted", "split_before", "split_after", "payload", "blake2sp")
-    opens = ~F.col("split_before") | (F.lag("name").over(order).isNull()) | (F.lag("name").over(order) != F.col("name")) | ~F.lag("split_after").over(order)
+    opens = ~F.col("split_before") | (F.lag("name").over(order).isNull()) | (F.lag("name").over(order) != F.col("name")) | ~F.lag("split_after").over(order) | (F.lag("volume").over(order) + 1 != F.col("volume"))
     runs = own.withColumn("run", F.sum(F.when(opens, 1).otherwise(0)).over(order))
     piece = F.struct("volume", "block", "payload")
     ends = F.struct("volume", "block")
