@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER_ALNUM, Words, rows_of
+from .shared import LOWER_ALNUM, Words, give_back, rows_of
 
 #: Words of an index; a longer document has one of its own. Sampled places lie this many words apart.
 SHARD_WORDS, SAMPLE = 1 << 18, 16
@@ -292,6 +292,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10,
                         held, texts, size = [], [], 0
         if held:
             yield from shard(pa.Table.from_batches(held), Words(texts, LOWER_ALNUM))
+        held.clear()
+        texts.clear()
+        give_back()
 
     schema = ", ".join([*(f"`{c.replace('`', '``')}` {k}" for c, k in kept.dtypes), SPANS])
     return read.mapInArrow(run, schema)

@@ -267,7 +267,7 @@ def doubtless(page: list[tuple]) -> np.ndarray:
     return out
 
 
-def train(pages: list[str], seed: int = 11, made: int = 900, epochs: int = 6, hidden: int = 16) -> BiLSTM:
+def train(pages: list[str], seed: int = 11, made: int = 1500, epochs: int = 7, hidden: int = 16) -> BiLSTM:
     """A labeller fitted to ``made`` template pages and the given real ones."""
     rng = np.random.default_rng(seed)
     real = [blocks(p) for p in pages]
@@ -342,11 +342,11 @@ def extract(pages: DataFrame, model: BiLSTM, carry: list[str] | None = None) ->
 
     def run(batches):
         vectors = Vectors()
-        for batch in pieces(batches, "_html"):
-            found = [blocks(t.decode()) if t else [] for t in rows_of(batch, "_html")]
+        for batch in pieces(batches, "__quern_html"):
+            found = [blocks(t.decode()) if t else [] for t in rows_of(batch, "__quern_html")]
             chances = label(shared.value, vectors, found)
             text = ["\n".join(b[1] for b, p in zip(page, chance, strict=True) if p >= 0.5) for page, chance in zip(found, chances, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*kept, "text", "n_chars"])
 
     types = dict(pages.dtypes)
-    return pages.select(*kept, pages["html"].alias("_html")).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "text string, n_chars long"]))
+    return pages.select(*kept, pages["html"].alias("__quern_html")).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "text string, n_chars long"]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ANSWER, LOWER_WORDS, SEGMENT, Slices, Words, add_up, answers, chunk_of, chunks_for, deal, mix64, partitions, pieces, rows_of, segments, settle, volume, windows
+from .shared import ANSWER, LOWER_WORDS, SEGMENT, Slices, Words, add_up, answers, chunk_of, chunks_for, deal, give_back, partitions, pieces, rows_of, segments, settle, volume, windows
 
 #: Documents that a block holds on average where one family fills several.
 BLOCK_DOCS = 256
@@ -73,6 +73,7 @@ def describe(docs: DataFrame, n: int, n_chunks: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "row_key": b.column("row_key"), "_chunk": b.column("_chunk"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array([signature(s) for s in sets], pa.binary()),
             })
+        give_back()
 
     return docs.select("doc_id", row_key().alias("row_key"), chunk_of(n_chunks, "doc_id", "text"), "text").mapInArrow(run, f"doc_id {kind}, row_key long, _chunk int, n_shingles long, sig binary")
 
@@ -102,7 +103,10 @@ def active(text: DataFrame, reps: DataFrame, n: int, threshold: int, slices: Sli
 
     def send(key, part, side):
         chunk = _Chunk(part, side, n, slices)
-        return segments(key[0].as_py(), chunk.distinct, chunk.counts, slices)
+        out = segments(key[0].as_py(), chunk.distinct, chunk.counts, slices)
+        del chunk
+        give_back()
+        return out
 
     def respond(sums: np.ndarray) -> bytes:  # 0: held by one class; else 1 + log2, rounded down
         return np.log2(sums[0]).astype(np.uint8).__add__(sums[0] > 1).astype(np.uint8).tobytes()
@@ -302,7 +306,8 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFrame:
     same = found.filter("n_shingles > 0").groupBy("doc_id", "row_key").agg(F.count("*").alias("rows"))
     chosen = settle(chosen.alias("c").join(same.alias("s"), (F.col("c.row_key") == F.col("s.row_key")) & F.col("c.doc_id").eqNullSafe(F.col("s.doc_id"))).select(F.col("c.doc_id").alias("_id"), F.col("c.row_key").alias("_key"), "rows"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.filter(worded).withColumn("_own", row_key())
-    stay = lambda rows: keyed.join(rows, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    once, often = stay(chosen.filter("rows = 1")), stay(chosen.filter("rows > 1")).dropDuplicates(["_own"])
-    return once.union(often).drop("_own").union(docs.filter(~worded))
+    keyed = docs.filter(worded).select(F.struct(*docs.columns).alias("row"), "doc_id", row_key().alias("own"))
+    stay = lambda rows: keyed.join(rows, (F.col("own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    once, often = stay(chosen.filter("rows = 1")), stay(chosen.filter("rows > 1")).dropDuplicates(["own", "doc_id"])
+    back = [F.col("row")[c].alias(c) for c in docs.columns]
+    return once.select(*back).union(often.select(*back)).union(docs.filter(~worded))

@@ -109,5 +109,6 @@ def mix(docs: DataFrame, cap: int = 3, weight=None) -> DataFrame:
 def mixed_documents(docs: DataFrame, cap: int = 3, weight=None) -> DataFrame:
     """The columns of ``docs`` for the rows that the mix takes at least once, and copies, how often."""
     _, by_source = plan(docs, cap, weight)
-    rows = docs.withColumn("hash", document_hash()).join(by_source, docs["source"].eqNullSafe(F.col("_name")))
-    return rows.select(*(docs[c] for c in docs.columns), _copies().cast("int").alias("copies")).filter("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), document_hash().alias("hash"))  # apart from the plan's names
+    rows = rows.join(by_source, F.col("row.source").eqNullSafe(F.col("_name"))).withColumn("copies", _copies().cast("int"))
+    return rows.filter("copies > 0").select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "copies"), "copies")

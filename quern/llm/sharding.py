@@ -49,15 +49,13 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
         return pd.DataFrame({"key": keys.view(np.int64), "bucket": (keys >> np.uint64(52)).astype(np.int32), "shard": jump_hash(keys, shards), "grown": jump_hash(keys, shards + 1)})
 
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
-    made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "_placed")
-    rows = docs.select(*(c for c in docs.columns if c not in made), size.alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), place(F.col("doc_id").cast("long")).alias("_placed"))
-    rows = rows.withColumn("_shard", F.col("_placed.shard")).withColumn("_bucket", F.col("_placed.bucket")).repartition("_shard", "_bucket")
-    before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_shard", "_bucket").agg(F.count("*").alias("_n"))
-    start = counts.select(F.col("_shard").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_shard", "_bucket").orderBy("_placed.key", "text_crc32", "size")
-    numbered = rows.withColumn("_at", F.row_number().over(within) - 1).join(start, (F.col("_shard") == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    return numbered.select(
-        *(c for c in docs.columns if c not in made), "size", "text_crc32", F.lit("key").alias("law"), F.col("_shard").alias("shard"),
-        (F.col("_start") + F.col("_at")).alias("slot"), F.col("_placed.grown").alias("grown_shard"),
-    )
+    made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    kept = [c for c in docs.columns if c not in made]
+    rows = docs.select(F.struct(*kept).alias("row"), size.alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), place(F.col("doc_id").cast("long")).alias("placed"))
+    rows = rows.select("row", "size", "text_crc32", F.col("placed.key").alias("key"), F.col("placed.shard").alias("shard"), F.col("placed.bucket").alias("bucket"), F.col("placed.grown").alias("grown_shard")).repartition("shard", "bucket")
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    start = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("shard", "bucket").orderBy("key", "text_crc32", "size")
+    numbered = rows.withColumn("at", F.row_number().over(within) - 1).join(start, ["shard", "bucket"])
+    return numbered.select(*(F.col("row")[c].alias(c) for c in kept), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at")).alias("slot"), "grown_shard")

@@ -18,6 +18,7 @@ only the recomputation of its tasks, because chunk and slice contents do not dep
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -45,7 +46,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch: whole texts are long, so far fewer than Spark's 10,000.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Sets the session's Arrow batches to BATCH_ROWS, so that Python workers hold a few MB of texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -95,36 +102,50 @@ _NOT_ALNUM[48:58] = _NOT_ALNUM[97:123] = _NOT_ALNUM[65:91] = False
 WORDS, LOWER_WORDS, LOWER_ALNUM = (_IDENTITY, _BLANK), (_LOWER, _BLANK), (_LOWER, _NOT_ALNUM)
 
 
+#: Bytes of text that are hashed in one go.
+PIECE_BYTES = 1 << 17
+
+
 class Words:
     """The words of some texts as 64-bit hashes: those of text i are ``hashes[at[i]:at[i + 1]]``."""
 
     def __init__(self, texts: list[bytes | None], rule=WORDS):
         mapped, parts = rule
-        texts = [t or b"" for t in texts]
-        hashes, counts, group, size = [], [], [], 0
-        for i, t in enumerate([*texts, None]):
-            if t is None or size > (1 << 20):
-                if group:
-                    h, c = self._hash(group, mapped, parts)
-                    hashes.append(h)
-                    counts.append(c)
-                group, size = [], 0
-            if t is not None:
-                group.append(t)
-                size += len(t)
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.at = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64) if counts else np.zeros(1, np.int64)
+        hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts) + 1, np.int64)
+        group, owner, size = [], [], 0
+        for i, t in enumerate(texts):
+            for piece in self._pieces(t or b"", parts):
+                group.append(piece)
+                owner.append(i)
+                size += len(piece)
+                if size > PIECE_BYTES:
+                    self._hash(group, owner, mapped, parts, hashes, counts)
+                    group, owner, size = [], [], 0
+        if group:
+            self._hash(group, owner, mapped, parts, hashes, counts)
+        self.hashes = np.concatenate(hashes)
+        self.at = np.concatenate([[0], np.cumsum(counts[: len(texts)])]).astype(np.int64)
 
     @staticmethod
-    def _hash(texts: list[bytes], mapped, parts) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(text: bytes, parts: np.ndarray) -> list[bytes]:
+        """A long text cut between words, so that memory follows PIECE_BYTES (or the longest word)."""
+        if len(text) <= 2 * PIECE_BYTES:
+            return [text]
+        gaps = np.flatnonzero(parts[np.frombuffer(text, np.uint8)])
+        cuts = gaps[np.unique(np.searchsorted(gaps, np.arange(PIECE_BYTES, len(text), PIECE_BYTES)).clip(max=max(0, len(gaps) - 1)))] if len(gaps) else gaps
+        ends = [0, *cuts.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    @staticmethod
+    def _hash(texts: list[bytes], owner: list[int], mapped, parts, hashes: list, counts: np.ndarray) -> None:
         data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
         edge = np.diff(parts[data].astype(np.int8))
         start, end = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
         up, down = _powers(_BYTE_BASE, len(data))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODE[mapped[data]] * up)])
-        h = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        hashes.append(mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)))
         first = np.cumsum([1, *(len(t) + 1 for t in texts)])
-        return h, np.diff(np.searchsorted(start, first))
+        np.add.at(counts, owner, np.diff(np.searchsorted(start, first)))
 
 
 def windows(words: np.ndarray, length: int) -> np.ndarray:
@@ -166,7 +187,17 @@ def volume(docs: DataFrame, text: str = "text") -> int:
 
 
 def chunks_for(n_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> int:
-    return max(1, -(-n_bytes // chunk_bytes))
+    """How many chunks texts of so many bytes make. Beyond 64 GB chunks grow with the square root of the whole (16 MB at 1 TB,
+    160 MB at 100 TB), so that a chunk's segments, one for each slice, keep hundreds of hashes."""
+    return max(1, -(-n_bytes // int(chunk_bytes * max(1.0, (n_bytes / (64 << 30)) ** 0.5))))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that idle Python workers don't hold what their largest task needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def chunk_of(n_chunks: int, *by: str):
@@ -193,7 +224,7 @@ class Slices:
     the leading 32 + bits bits suffice)."""
 
     def __init__(self, n_chunks: int, n_partitions: int, width: int = 8):
-        self.bits = max(3, (max(n_partitions, n_chunks // 8) - 1).bit_length())
+        self.bits = max(3, (max(n_partitions, min(4 * n_partitions, n_chunks), n_chunks // 8) - 1).bit_length())
         self.width = width
 
     @property
@@ -233,7 +264,7 @@ def unpack_sorted(data: bytes, width: int) -> np.ndarray:
 
 def segments(chunk: int, u: np.ndarray, weights: np.ndarray, slices: Slices) -> pa.Table:
     """Sorted distinct reduced hashes of a chunk, packed by slice; weights: uint32, one row or several a hash."""
-    w = np.ascontiguousarray(weights, dtype=np.uint32).reshape(-1, len(u))
+    w = np.ascontiguousarray(weights, dtype=np.uint32).reshape(-1, max(1, len(u)))
     low = np.uint64(2 ** (8 * slices.width) - 1)
     rows = [(p, pack_sorted(u[a:b] & low, slices.width), pack32(w[:, a:b])) for p, a, b in slices.cut(u)]
     return pa.table({
@@ -263,6 +294,8 @@ def add_up(segs: DataFrame, slices: Slices, kind: int, respond, n_weights: int =
                 "_chunk": pa.array([r[1] for r in rows], pa.int32()), "_kind": pa.array([kind] * len(rows), pa.int32()), "_part": pa.array([part] * len(rows), pa.int32()),
                 "data": pa.array([respond(sums[:, where[a:b]]) for a, b in zip(at, at[1:], strict=False)], pa.binary()),
             })
+        del by
+        give_back()
 
     return segs.repartitionById(slices.count, F.col("_part")).mapInArrow(run, ANSWER)
 

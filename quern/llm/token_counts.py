@@ -123,14 +123,14 @@ def count_tokens(docs: DataFrame, sections: str | None = None, rule: str = "star
     names = [c.split()[0] for c in made.split(", ")]
     kept = [c for c in (docs.columns if carry is None else carry) if c not in names]
     spans = F.lit(None).cast("array<struct<start:bigint,end:bigint>>") if sections is None else F.transform(sections, lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end")))
-    read = docs.select(*kept, docs["text"].alias("_text"), spans.alias("_sections"))
+    read = docs.select(*kept, docs["text"].alias("__quern_text"), spans.alias("__quern_sections"))
 
     def run(batches):
         encoder = _encoder(content.value, pattern)
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "__quern_text"):
             out: list[list] = [[], [], [], [], []]
-            given = batch.column("_sections").to_pylist() if sections is not None else [None] * batch.num_rows
-            for text, data, own in zip(batch.column("_text").to_pylist(), rows_of(batch, "_text"), given, strict=True):
+            given = batch.column("__quern_sections").to_pylist() if sections is not None else [None] * batch.num_rows
+            for text, data, own in zip(batch.column("__quern_text").to_pylist(), rows_of(batch, "__quern_text"), given, strict=True):
                 bounds = encoder.bounds(text or "")
                 if sections is None:
                     starts, ends = line_spans(data or b"")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .recurrent import F4, Adam, GRUAttention, sigmoid
-from .shared import mix64, pieces, rows_of, windows
+from .shared import give_back, mix64, pieces, rows_of, windows
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 24
@@ -33,7 +33,7 @@ PIECE = 24
 BUCKETS, WORD_DIM, BYTE_DIM, CHAR_HIDDEN, WORD_HIDDEN = 4096, 8, 8, 10, 8
 MOST_LABELLED = 1500
 #: Distinct words whose inputs a task remembers.
-MEMORY = 150_000
+MEMORY = 80_000
 
 _TABLE = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LONG = re.compile(rb"\S{%d,}" % (PIECE + 1))
@@ -168,11 +168,13 @@ def marked_words(docs: list[list[bytes]], toxic: np.ndarray, purity: float) -> s
     for words, t in zip(docs, toxic, strict=True):
         seen[bool(t)].update(set(words))
     counts = {True: Counter(), False: Counter()}
-    for t, own in seen.items():
+    total = {True: 0, False: 0}
+    for t, own in seen.items():  # toxic documents first
         for w, n in own.items():
-            for g in _grams(w):
+            grams = _grams(w)
+            total[t] += n * len(grams)
+            for g in grams if t else grams & counts[True].keys():
                 counts[t][g] += n
-    total = {t: sum(c.values()) for t, c in seen.items()}
     p = total[True] / max(1, total[True] + total[False])
     if not 0 < p < 1:
         return set()
@@ -247,7 +249,9 @@ def _fit_windows(model: Model, samples: list[list[bytes]], target: np.ndarray, e
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
     """A model fitted to whole labelled texts."""
     model, rng = Model(seed), np.random.default_rng(seed)
-    docs = [tokens(t) for t in texts]
+    same: dict = {}
+    docs = [[same.setdefault(w, w) for w in tokens(t)] for t in texts]  # one object for each distinct word
+    del same
     toxic = np.asarray(labels) > 0
     model.prior = float(toxic.mean()) if len(toxic) else 0.0
     apart = _apart(docs)
@@ -316,7 +320,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     rows = labelled_sample(docs, labels, most).collect()
-    return train([r.text.encode() for r in rows], np.array([r.toxic for r in rows]))
+    texts, toxic = [r.text.encode() for r in rows], np.array([r.toxic for r in rows])
+    del rows
+    model = train(texts, toxic)
+    del texts
+    give_back()
+    return model
 
 
 def held_out():
@@ -338,9 +347,11 @@ def score_documents(docs: DataFrame, model: Model, carry: list[str] | None = Non
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in pieces(batches, "_text"):
-            score = probability(shared.value, scorer(rows_of(batch, "_text"))).astype(np.float64)
+        for batch in pieces(batches, "__quern_text"):
+            score = probability(shared.value, scorer(rows_of(batch, "__quern_text"))).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
+        del scorer
+        give_back()
 
     types = dict(docs.dtypes)
-    return docs.select(*kept, docs["text"].alias("_text")).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "score double, predicted int"]))
+    return docs.select(*kept, docs["text"].alias("__quern_text")).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "score double, predicted int"]))

@@ -6,6 +6,8 @@ A block is ``crc32 | size | type | flags | [extra size] | [data size] | body | [
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,44 +20,51 @@ def mark() -> Column:
     return F.unhex(F.lit(SIGNATURES[50]))
 
 
-def framed(header: Column) -> Column:
-    """A short header with its size before it and the checksum of both before that."""
-    sized = F.concat(vint(F.octet_length(header)), header)
-    return F.concat(le_bytes(F.crc32(sized), 4), sized)
+def constant(*values: int) -> bytes:
+    """Numbers below 128 as they stand in a header."""
+    return bytes(values)
+
+
+def framed_constant(header: bytes) -> Column:
+    """A fixed short header with its size before it and the checksum of both before that."""
+    sized = bytes([len(header)]) + header
+    return F.lit(zlib.crc32(sized).to_bytes(4, "little") + sized)
 
 
 def main_block(volume: Column | None = None) -> Column:
     """volume: the number of a set's volume, from 0, or None for a single archive."""
     if volume is None:
-        return framed(F.concat(vint(F.lit(MAIN)), vint(F.lit(0)), vint(F.lit(0))))
-    flags = F.when(volume > 0, 3).otherwise(1)
-    return framed(F.concat(vint(F.lit(MAIN)), vint(F.lit(0)), vint(flags), F.when(volume > 0, vint(volume)).otherwise(empty())))
+        return framed_constant(constant(MAIN, 0, 0))
+    header = F.concat(F.lit(constant(MAIN, 0, 3)), vint(volume))
+    sized = F.concat(le_bytes(F.octet_length(header), 1), header)
+    return F.when(volume > 0, F.concat(le_bytes(F.crc32(sized), 4), sized)).otherwise(framed_constant(constant(MAIN, 0, 1)))
 
 
 def end_block(more: Column | None = None) -> Column:
-    return framed(F.concat(vint(F.lit(END)), vint(F.lit(0)), vint(F.lit(0) if more is None else F.when(more, 1).otherwise(0))))
+    last = framed_constant(constant(END, 0, 0))
+    return last if more is None else F.when(more, framed_constant(constant(END, 0, 1))).otherwise(last)
 
 
 #: An extra record of type 1 (encryption) without parameters, as a marker: size 2, type 1, one byte.
-ENCRYPTED_EXTRA = "020100"
+ENCRYPTED_EXTRA = b"\x02\x01\x00"
 
 
 def with_blocks(rows: DataFrame, data: Column, crc: Column, before: Column, after: Column) -> DataFrame:
     """Adds block, the bytes of a file block with ``data``, to rows of name, payload, mtime, is_directory, is_encrypted and
-    has_crc. A step for each part, so that none is computed twice."""
-    rows = rows.withColumns({"_data": data, "_name": F.encode("name", "UTF-8"), "_size": F.octet_length("payload")})
-    rows = rows.withColumns({"_n": F.octet_length("_data"), "_crc": crc, "_extra": F.when(F.col("is_encrypted"), F.unhex(F.lit(ENCRYPTED_EXTRA))).otherwise(empty())})
-    flags = F.when(F.col("is_encrypted"), 1).otherwise(0) + F.when(F.col("_n") > 0, 2).otherwise(0) + F.when(before, 8).otherwise(0) + F.when(after, 16).otherwise(0)
+    has_crc. A step for each part, so that none is computed twice; numbers that stay below 128 are single bytes."""
+    flags = F.when(F.col("is_encrypted"), 1).otherwise(0) + F.when(F.octet_length(data) > 0, 2).otherwise(0) + F.when(before, 8).otherwise(0) + F.when(after, 16).otherwise(0)
     kind = F.when(F.col("is_directory"), 1).otherwise(0) + 2 + F.when(F.col("has_crc"), 4).otherwise(0)
+    rows = rows.withColumns({"_data": data, "_name": F.encode("name", "UTF-8"), "_crc": crc, "_flags": le_bytes(flags, 1), "_kind": le_bytes(kind, 1)})
+    extra_size, extra = (F.when(F.col("is_encrypted"), F.lit(x)).otherwise(empty()) for x in (bytes([len(ENCRYPTED_EXTRA)]), ENCRYPTED_EXTRA))
     header = F.concat(
-        vint(F.lit(FILE)), vint(flags), F.when(F.col("is_encrypted"), vint(F.octet_length("_extra"))).otherwise(empty()), F.when(F.col("_n") > 0, vint("_n")).otherwise(empty()),
-        vint(kind), vint("_size"), vint(default_attributes(F.lit(0), "is_directory")), le_bytes("mtime", 4), F.when(F.col("has_crc"), le_bytes("_crc", 4)).otherwise(empty()),
-        vint(F.lit(0)), vint(F.lit(1)), vint(F.octet_length("_name")), F.col("_name"), F.col("_extra"),
+        F.lit(constant(FILE)), F.col("_flags"), extra_size, F.when(F.octet_length("_data") > 0, vint(F.octet_length("_data"))).otherwise(empty()),
+        F.col("_kind"), vint(F.octet_length("payload")), le_bytes(default_attributes(F.lit(0), "is_directory"), 1), le_bytes("mtime", 4), F.when(F.col("has_crc"), le_bytes("_crc", 4)).otherwise(empty()),
+        F.lit(constant(0, 1)), vint(F.octet_length("_name")), F.col("_name"), extra,
     )
     rows = rows.withColumn("_header", header)
     rows = rows.withColumn("_sized", F.concat(vint(F.octet_length("_header")), F.col("_header")))
     made = rows.withColumn("block", F.concat(le_bytes(F.crc32("_sized"), 4), F.col("_sized"), F.col("_data")))
-    return made.drop("_data", "_name", "_size", "_n", "_crc", "_extra", "_header", "_sized")
+    return made.drop("_data", "_name", "_crc", "_flags", "_kind", "_header", "_sized")
 
 
 def block_size(data: Column, name: str = "name") -> Column:
