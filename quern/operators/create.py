@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SIGNATURES, default_attributes, empty, le_bytes, vint, vint_size
+from .verify import blake_of
 
 MAIN, FILE, END = 1, 2, 5
 
@@ -47,15 +48,20 @@ def end_block(more: Column | None = None) -> Column:
 
 #: An extra record of type 1 (encryption) without parameters, as a marker: size 2, type 1, one byte.
 ENCRYPTED_EXTRA = b"\x02\x01\x00"
+#: What stands before the 32 bytes of a BLAKE2sp digest in an extra record of type 2 (hash): size 34, type 2, kind 0.
+BLAKE_EXTRA = b"\x22\x02\x00"
 
 
 def with_blocks(rows: DataFrame, data: Column, crc: Column, before: Column, after: Column) -> DataFrame:
     """Adds block, the bytes of a file block with ``data``, to rows of name, payload, mtime, is_directory, is_encrypted and
-    has_crc. A step for each part, so that none is computed twice; numbers that stay below 128 are single bytes."""
-    flags = F.when(F.col("is_encrypted"), 1).otherwise(0) + F.when(F.octet_length(data) > 0, 2).otherwise(0) + F.when(before, 8).otherwise(0) + F.when(after, 16).otherwise(0)
+    has_crc. Where a column _hash is there and not null, the block has it as its BLAKE2sp record. A step for each part, so that none
+    is computed twice; numbers that stay below 128 are single bytes."""
+    hashed = F.col("_hash") if "_hash" in rows.columns else F.lit(None).cast("binary")
+    flags = F.when(F.col("is_encrypted") | hashed.isNotNull(), 1).otherwise(0) + F.when(F.octet_length(data) > 0, 2).otherwise(0) + F.when(before, 8).otherwise(0) + F.when(after, 16).otherwise(0)
     kind = F.when(F.col("is_directory"), 1).otherwise(0) + 2 + F.when(F.col("has_crc"), 4).otherwise(0)
     rows = rows.withColumns({"_data": data, "_name": F.encode("name", "UTF-8"), "_crc": crc, "_flags": le_bytes(flags, 1), "_kind": le_bytes(kind, 1)})
-    extra_size, extra = (F.when(F.col("is_encrypted"), F.lit(x)).otherwise(empty()) for x in (bytes([len(ENCRYPTED_EXTRA)]), ENCRYPTED_EXTRA))
+    extra = F.concat(F.when(F.col("is_encrypted"), F.lit(ENCRYPTED_EXTRA)).otherwise(empty()), F.when(hashed.isNotNull(), F.concat(F.lit(BLAKE_EXTRA), hashed)).otherwise(empty()))
+    extra_size = F.when(F.octet_length(extra) > 0, le_bytes(F.octet_length(extra), 1)).otherwise(empty())
     header = F.concat(
         F.lit(constant(FILE)), F.col("_flags"), extra_size, F.when(F.octet_length("_data") > 0, vint(F.octet_length("_data"))).otherwise(empty()),
         F.col("_kind"), vint(F.octet_length("payload")), le_bytes(default_attributes(F.lit(0), "is_directory"), 1), le_bytes("mtime", 4), F.when(F.col("has_crc"), le_bytes("_crc", 4)).otherwise(empty()),
@@ -64,7 +70,14 @@ def with_blocks(rows: DataFrame, data: Column, crc: Column, before: Column, afte
     rows = rows.withColumn("_header", header)
     rows = rows.withColumn("_sized", F.concat(vint(F.octet_length("_header")), F.col("_header")))
     made = rows.withColumn("block", F.concat(le_bytes(F.crc32("_sized"), 4), F.col("_sized"), F.col("_data")))
-    return made.drop("_data", "_name", "_crc", "_flags", "_kind", "_header", "_sized")
+    return made.drop("_data", "_name", "_crc", "_hash", "_flags", "_kind", "_header", "_sized")
+
+
+def _hashed(rows: DataFrame, data: str, cut: Column) -> DataFrame:
+    """Adds _hash to rows that have a column has_blake: the digest of the payload, of ``data`` where ``cut`` holds."""
+    if "has_blake" not in rows.columns:
+        return rows
+    return rows.withColumn("_hashed", F.when(cut, F.col(data)).otherwise(F.col("payload"))).withColumn("_hash", blake_of("_hashed", F.col("has_blake"))).drop("_hashed")
 
 
 def block_size(data: Column, name: str = "name") -> Column:
@@ -82,9 +95,10 @@ def _joined(rows: DataFrame, keys: list[str], order: str, before: Column, after:
 
 def archives(entries: DataFrame) -> DataFrame:
     """archive_id, volume (0) and content of one archive for each archive_id, entries in their order. A column written,
-    if there, holds the bytes that are stored in place of the payload that the header describes."""
+    if there, holds the bytes that are stored in place of the payload that the header describes; has_blake, if there, says
+    which entries have a BLAKE2sp record."""
     data = F.col("written") if "written" in entries.columns else F.col("payload")
-    blocks = with_blocks(entries, data, F.crc32("payload"), F.lit(False), F.lit(False))
+    blocks = with_blocks(_hashed(entries, "payload", F.lit(False)), data, F.crc32("payload"), F.lit(False), F.lit(False))
     done = _joined(blocks.select("archive_id", "entry", "block"), ["archive_id"], "entry", F.concat(mark(), main_block()), end_block())
     return done.select("archive_id", F.lit(0).alias("volume"), "content")
 
@@ -102,9 +116,10 @@ def pieces(entries: DataFrame, volume_bytes: int) -> DataFrame:
 
 
 def volumes(entries: DataFrame, volume_bytes: int) -> DataFrame:
-    """archive_id, volume and content of volume sets. Every piece repeats the entry's size; the checksum is the
-    piece's own, but the whole entry's in its last piece."""
+    """archive_id, volume and content of volume sets. Every piece repeats the entry's size; the checksums are the
+    piece's own, but the whole entry's in its last piece. has_blake, if there, is as in ``archives``."""
     cut = pieces(entries, volume_bytes)
+    cut = _hashed(cut, "piece", F.col("split_after"))
     crc = F.when(F.col("split_after"), F.crc32("piece")).otherwise(F.crc32("payload"))
     blocks = with_blocks(cut, F.col("piece"), crc, F.col("split_before"), F.col("split_after"))
     last = cut.groupBy("archive_id").agg(F.max("volume").alias("last"))

@@ -55,16 +55,21 @@ def assembled(blocks: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(files: DataFrame, with_blake: bool = False) -> DataFrame:
-    """Adds bytes_verified, crc_actual and status to files (name, size, crc, info, payload, is_directory, is_encrypted).
-    Only stored payloads can be hashed; others are UNSUPPORTED, which is never damage."""
+def blake_of(payload: str, where: Column) -> Column:
+    """The digest of the payloads for which ``where`` holds; no others are hashed, as they reach Python as nulls."""
+    return blake2sp_udf(F.when(where, F.col(payload)))
+
+
+def verdicts(files: DataFrame) -> DataFrame:
+    """Adds bytes_verified, crc_actual, blake_actual and status to files (name, size, crc, blake2sp, info, payload, is_directory,
+    is_encrypted). Every checksum that an entry has is compared. Only stored payloads can be hashed; others are UNSUPPORTED,
+    which is never damage."""
     stored = F.when(F.col("family") == 15, F.col("info") == 0).otherwise(compression_fields("info")["method"] == 0)
     readable = ~F.col("is_directory") & ~F.col("is_encrypted") & stored
     rows = files.withColumn("crc_actual", F.when(readable, F.crc32("payload"))).withColumn("bytes_verified", F.when(readable, F.octet_length("payload")).otherwise(0).cast("long"))
     wrong = (F.col("bytes_verified") != F.col("size")) | (F.col("crc").isNotNull() & (F.col("crc") != F.col("crc_actual")))
-    if with_blake:
-        rows = rows.withColumn("blake_actual", F.when(readable & F.col("blake2sp").isNotNull(), blake2sp_udf("payload")))
-        wrong = wrong | (F.col("blake2sp").isNotNull() & (F.col("blake2sp") != F.col("blake_actual")))
+    rows = rows.withColumn("blake_actual", blake_of("payload", readable & F.col("blake2sp").isNotNull()))
+    wrong = wrong | (F.col("blake2sp").isNotNull() & (F.col("blake2sp") != F.col("blake_actual")))
     has_sum = F.col("crc").isNotNull() | F.col("blake2sp").isNotNull()
     status = F.when(F.col("is_directory"), OK).when(F.col("is_encrypted") | ~stored, UNSUPPORTED).when(wrong, MISMATCH).when(~has_sum, NO_CHECKSUM).otherwise(OK)
     return rows.withColumn("status", status)

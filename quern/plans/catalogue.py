@@ -55,6 +55,17 @@ def verify_entries(spark, sf_dir):
     return v.select("archive_id", "name", "status", "bytes_verified")
 
 
+@query("SELECT {ARCHIVE} AS archive_id, lang || '/' || doc_id::VARCHAR || '.txt' AS name, CASE WHEN doc_id % 14 = 0 AND strlen(text) > 0 THEN 1 ELSE 0 END AS status, strlen(text)::BIGINT AS bytes_verified FROM documents")
+def verify_hash_records(spark, sf_dir):
+    """Every seventh entry has a BLAKE2sp record in place of its CRC32; half of these were changed."""
+    e = document_entries(spark, sf_dir)
+    hashed, changed = F.col("entry") % 7 == 0, (F.col("entry") % 14 == 0) & (F.octet_length("payload") > 0)
+    half = F.floor(F.octet_length("payload") / 2)
+    made = e.withColumn("has_blake", hashed).withColumn("has_crc", ~hashed).withColumn("written", F.when(changed, campaign.xor_byte("payload", half)).otherwise(F.col("payload")))
+    v = verify.verdicts(verify.assembled(parse.blocks(create.archives(made))))
+    return v.select("archive_id", "name", "status", "bytes_verified")
+
+
 @query(
     f"""WITH v AS (SELECT {{ARCHIVE}} AS archive_id, {_STATUS} AS s, doc_id FROM documents), g AS (SELECT archive_id, count(*) AS entry_count, count(*) FILTER (s = 0) AS verified, count(*) FILTER (s = 1) AS damaged,
     count(*) FILTER (s = 2) AS no_checksum, count(*) FILTER (s = 3) AS unsupported, count(*) FILTER (doc_id % 29 = 0) AS encrypted_count FROM v GROUP BY 1)

@@ -105,3 +105,16 @@ def test_stream(spark, entries, tmp_path):
     q.awaitTermination(120)
     got = {r.archive_id: r.verified for r in spark.table("sums").collect()}
     assert got == {"a": 3, "b": 0, "c": 1}
+
+
+def test_a_damaged_entry_that_has_only_blake2sp(spark):
+    rows = [("a", 0, "good", b"x" * 5000, 1, False, False, False, b"x" * 5000), ("a", 1, "bad", b"y" * 5000, 1, False, False, False, b"y" * 4999 + b"z"), ("a", 2, "both", b"w", 1, False, False, True, b"w")]
+    e = spark.createDataFrame(rows, SCHEMA + ", written binary").withColumn("has_blake", F.lit(True))
+    blocks = parse.blocks(create.archives(e))
+    assert blocks.filter("not crc_ok or error is not null").count() == 0 and blocks.filter("octet_length(blake2sp) = 32").count() == 3
+    assert {k[1]: r.status for k, r in judged(blocks).items()} == {"good": verify.OK, "bad": verify.MISMATCH, "both": verify.OK}
+    plain = e.drop("written")
+    got = judged(parse.blocks(create.volumes(plain, 700)))
+    assert {r.status for r in got.values()} == {verify.OK} and all(bytes(r.blake2sp) == verify.blake2sp(bytes(r.payload)) for r in got.values())
+    damaged = create.volumes(plain, 700).withColumn("content", F.when(F.col("volume") == 3, campaign.xor_byte("content", F.octet_length("content") - 30)).otherwise(F.col("content")))
+    assert judged(parse.blocks(damaged))["a", "good"].status == verify.MISMATCH
