@@ -19,6 +19,30 @@ def is_file() -> Column:
     return ((F.col("family") == 50) & (F.col("type") == 2)) | ((F.col("family") == 15) & (F.col("type") == 0x74))
 
 
+def headers_encrypted() -> Column:
+    """The block after which everything, headers too, is encrypted."""
+    return ((F.col("family") == 50) & (F.col("type") == 4)) | ((F.col("family") == 15) & (F.col("type") == 0x73) & F.coalesce("is_encrypted", F.lit(False)))
+
+
+def is_judged() -> Column:
+    """Files, and the block (without a name) that stands for those hidden behind encrypted headers."""
+    return is_file() | headers_encrypted()
+
+
+def _stored() -> Column:
+    return F.when(F.col("family") == 15, F.col("info") == 0).otherwise(compression_fields("info")["method"] == 0)
+
+
+def _run(order: Window) -> Column:
+    """Numbers the runs of pieces: one continues the piece before it only in the next volume."""
+    opens = ~F.col("split_before") | (F.lag("name").over(order).isNull()) | (F.lag("name").over(order) != F.col("name")) | ~F.lag("split_after").over(order) | (F.lag("volume").over(order) + 1 != F.col("volume"))
+    return F.sum(F.when(opens, 1).otherwise(0)).over(order)
+
+
+def _joined_payload() -> Column:
+    return F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("volume", "block", "payload"))), lambda x: x["payload"]), empty(), lambda a, b: F.concat(a, b))
+
+
 def blake2sp(data: bytes) -> bytes:
     """BLAKE2sp: 64-byte blocks dealt to eight leaves, whose digests a root hashes."""
     leaves = []
@@ -40,18 +64,15 @@ def blake2sp_udf(payload: pd.Series) -> pd.Series:
 def assembled(blocks: DataFrame) -> DataFrame:
     """Logical files: an opener and the pieces that continue it in the next volumes, without a gap. complete: the run has
     its opener and its last piece; parts_ok: every leading piece has the checksum of its bytes."""
-    order = Window.partitionBy("archive_id").orderBy("volume", "block")
-    own = blocks.filter(is_file()).select("archive_id", "volume", "block", "family", "name", "size", "mtime", "crc", "info", "is_directory", "is_encrypted", "split_before", "split_after", "payload", "blake2sp")
-    opens = ~F.col("split_before") | (F.lag("name").over(order).isNull()) | (F.lag("name").over(order) != F.col("name")) | ~F.lag("split_after").over(order) | (F.lag("volume").over(order) + 1 != F.col("volume"))
-    runs = own.withColumn("run", F.sum(F.when(opens, 1).otherwise(0)).over(order))
-    piece = F.struct("volume", "block", "payload")
+    own = blocks.filter(is_judged()).select("archive_id", "volume", "block", "family", "name", "size", "mtime", "crc", "info", "is_directory", "is_encrypted", "split_before", "split_after", "payload", "blake2sp")
+    runs = own.withColumn("run", _run(Window.partitionBy("archive_id").orderBy("volume", "block")))
     ends = F.struct("volume", "block")
     part_ok = F.when(F.col("split_after") & ~F.col("is_encrypted") & F.col("crc").isNotNull(), F.crc32("payload") == F.col("crc")).otherwise(True)
     return runs.groupBy("archive_id", "run").agg(
         F.min_by("name", ends).alias("name"), F.min_by("size", ends).alias("size"), F.min_by("mtime", ends).alias("mtime"), F.min_by("info", ends).alias("info"), F.first("family").alias("family"),
         F.max_by("crc", ends).alias("crc"), F.max_by("blake2sp", ends).alias("blake2sp"), F.bool_or("is_directory").alias("is_directory"), F.bool_or("is_encrypted").alias("is_encrypted"),
         (~F.min_by("split_before", ends) & ~F.max_by("split_after", ends)).alias("complete"), F.bool_and(part_ok).alias("parts_ok"), F.count("*").alias("pieces"),
-        F.aggregate(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["payload"]), empty(), lambda a, b: F.concat(a, b)).alias("payload"),
+        _joined_payload().alias("payload"),
     )
 
 
@@ -64,7 +85,7 @@ def verdicts(files: DataFrame) -> DataFrame:
     """Adds bytes_verified, crc_actual, blake_actual and status to files (name, size, crc, blake2sp, info, payload, is_directory,
     is_encrypted). Every checksum that an entry has is compared. Only stored payloads can be hashed; others are UNSUPPORTED,
     which is never damage."""
-    stored = F.when(F.col("family") == 15, F.col("info") == 0).otherwise(compression_fields("info")["method"] == 0)
+    stored = F.coalesce(_stored(), F.lit(False))
     readable = ~F.col("is_directory") & ~F.col("is_encrypted") & stored
     rows = files.withColumn("crc_actual", F.when(readable, F.crc32("payload"))).withColumn("bytes_verified", F.when(readable, F.octet_length("payload")).otherwise(0).cast("long"))
     wrong = (F.col("bytes_verified") != F.col("size")) | (F.col("crc").isNotNull() & (F.col("crc") != F.col("crc_actual")))
@@ -76,29 +97,58 @@ def verdicts(files: DataFrame) -> DataFrame:
 
 
 def summary(verdict: DataFrame) -> DataFrame:
-    """Counts and status of each archive."""
+    """Counts and status of each archive. One with encrypted headers shows no entries, which makes it INCOMPLETE."""
     count = lambda cond: F.count_if(cond).cast("long")
-    plain = ~F.col("is_directory")
+    named = F.col("name").isNotNull()
+    plain = ~F.col("is_directory") & named
     rolled = verdict.groupBy("archive_id").agg(
-        F.count("*").alias("entry_count"), count(plain & (F.col("status") == OK)).alias("verified"), count(plain & (F.col("status") == MISMATCH)).alias("damaged"), count(plain & (F.col("status") == NO_CHECKSUM)).alias("no_checksum"),
-        count(plain & (F.col("status") == UNSUPPORTED)).alias("unsupported"), count(plain & (F.col("status") == ERROR)).alias("error_count"), count("is_directory").alias("directory_count"), count("is_encrypted").alias("encrypted_count"),
+        F.count("name").alias("entry_count"), count(plain & (F.col("status") == OK)).alias("verified"), count(plain & (F.col("status") == MISMATCH)).alias("damaged"), count(plain & (F.col("status") == NO_CHECKSUM)).alias("no_checksum"),
+        count(plain & (F.col("status") == UNSUPPORTED)).alias("unsupported"), count(plain & (F.col("status") == ERROR)).alias("error_count"), count("is_directory").alias("directory_count"), count(named & F.col("is_encrypted")).alias("encrypted_count"),
+        F.bool_or(~named).alias("headers_encrypted"),
     )
-    status = F.when(F.col("damaged") + F.col("error_count") > 0, DAMAGED).when(F.col("unsupported") + F.col("no_checksum") > 0, INCOMPLETE).otherwise(VERIFIED)
-    leaves = F.when(F.col("damaged") + F.col("error_count") > 0, 1).when(F.col("unsupported") > 0, 69).when(F.col("no_checksum") > 0, 65).otherwise(0)
+    unread = (F.col("unsupported") > 0) | F.col("headers_encrypted")
+    status = F.when(F.col("damaged") + F.col("error_count") > 0, DAMAGED).when(unread | (F.col("no_checksum") > 0), INCOMPLETE).otherwise(VERIFIED)
+    leaves = F.when(F.col("damaged") + F.col("error_count") > 0, 1).when(unread, 69).when(F.col("no_checksum") > 0, 65).otherwise(0)
     return rolled.withColumn("status", status).withColumn("exit_code", leaves)
 
 
+HEADERS_ENCRYPTED = "archive headers are encrypted (-hp); contents cannot be verified without a password"
+
+
 def validation(blocks: DataFrame) -> DataFrame:
-    """One verdict for each archive: the first thing wrong, in block order, or none; with counts of what was read."""
-    plain = is_file() & ~F.col("is_directory") & ~F.col("is_encrypted")
-    whole = plain & ~F.col("split_before") & ~F.col("split_after") & F.col("crc").isNotNull()
-    wrong = F.when(F.col("error").isNotNull(), F.col("error")).when(~F.col("crc_ok"), "header CRC mismatch").when(whole & (F.crc32("payload") != F.col("crc")), "payload CRC32 mismatch")
-    wrong = wrong.when(plain & F.col("split_after") & (F.crc32("payload") != F.col("crc")), "packed-part CRC32 mismatch")
-    rows = blocks.withColumn("wrong", wrong)
-    at = F.struct("volume", "block")
-    return rows.groupBy("archive_id").agg(
-        F.max("family").alias("family"), F.count("type").alias("block_count"), F.count_if(is_file()).alias("file_count"), F.coalesce(F.bool_or("is_encrypted"), F.lit(False)).alias("has_encrypted"),
-        F.count_if(F.coalesce("is_encrypted", F.lit(False))).alias("unverified"), F.min_by("wrong", F.when(F.col("wrong").isNotNull(), at)).alias("error"),
+    """One verdict for each archive: the first thing wrong, in block order, or none; with counts of what was read.
+
+    Stored payloads are compared with every checksum they have, those of split entries once their pieces are joined (at the
+    last piece); leading pieces with the checksum of their own bytes. unverified counts entries that can't be: encrypted and compressed
+    ones, and split ones of which a piece is missing. An archive with encrypted headers isn't valid and has headers_encrypted set, as
+    nothing is known of its contents. An entry without a checksum passes, and lengths aren't compared: ``verdicts`` does both."""
+    at, order = F.struct("volume", "block"), Window.partitionBy("archive_id", "is_piece").orderBy("volume", "block")
+    file = F.coalesce(is_file(), F.lit(False))
+    plain = file & ~F.col("is_directory") & ~F.col("is_encrypted")
+    split, stored = plain & (F.col("split_before") | F.col("split_after")), F.coalesce(_stored(), F.lit(False))
+    own = (plain & ~split & stored) | (plain & F.col("split_after"))
+    rows = blocks.withColumns({"is_piece": file, "blake_actual": blake_of("payload", own & F.col("blake2sp").isNotNull())})
+    part = lambda name: F.when(F.col("split_after"), f"packed-part {name} mismatch").otherwise(f"payload {name} mismatch")
+    wrong = F.when(F.col("error").isNotNull(), F.col("error")).when(~F.col("crc_ok"), "header CRC mismatch").when(headers_encrypted(), HEADERS_ENCRYPTED)
+    wrong = wrong.when(plain & ~split & (F.col("family") == 50) & (F.col("size") > 0) & (F.col("data_size") == 0), "file header declares unpacked data but no packed data size; payload cannot be verified")
+    wrong = wrong.when(own & (F.crc32("payload") != F.col("crc")), part("CRC32")).when(own & (F.col("blake_actual") != F.col("blake2sp")), part("BLAKE2sp"))
+    skipped = F.coalesce("is_encrypted", F.lit(False)) | (plain & ~stored)
+    rows = rows.select(
+        "archive_id", "volume", "block", "family", "type", "name", "crc", "blake2sp", "is_piece", "split_before", "split_after", F.coalesce("is_encrypted", F.lit(False)).alias("is_encrypted"), wrong.alias("wrong"),
+        F.coalesce(headers_encrypted() & F.col("crc_ok"), F.lit(False)).alias("hidden"), skipped.alias("skipped"), split.alias("split"), F.when(split & stored, F.col("payload")).alias("payload"),
+    )
+    runs = rows.withColumn("run", _run(order)).groupBy("archive_id", "is_piece", "run").agg(
+        F.max("family").alias("family"), F.count("type").alias("blocks"), F.count_if("is_piece").alias("files"), F.bool_or("is_encrypted").alias("is_encrypted"), F.bool_or("hidden").alias("hidden"), F.bool_or("skipped").alias("skipped"),
+        F.min_by("wrong", F.when(F.col("wrong").isNotNull(), at)).alias("wrong"), F.min(F.when(F.col("wrong").isNotNull(), at)).alias("at"), F.max(at).alias("last"), F.bool_or("split").alias("split"),
+        (~F.min_by("split_before", at) & ~F.max_by("split_after", at)).alias("complete"), F.max_by("crc", at).alias("crc"), F.max_by("blake2sp", at).alias("blake2sp"), _joined_payload().alias("payload"),
+    )
+    whole = F.col("split") & F.col("complete") & ~F.col("skipped")
+    runs = runs.withColumn("blake_actual", blake_of("payload", whole & F.col("blake2sp").isNotNull()))
+    joined = F.when(whole & (F.crc32("payload") != F.col("crc")), "payload CRC32 mismatch").when(whole & (F.col("blake_actual") != F.col("blake2sp")), "payload BLAKE2sp mismatch")
+    runs = runs.withColumn("at", F.coalesce("at", F.when(joined.isNotNull(), F.col("last")))).withColumn("wrong", F.coalesce("wrong", joined))
+    return runs.groupBy("archive_id").agg(
+        F.max("family").alias("family"), F.sum("blocks").alias("block_count"), F.sum("files").alias("file_count"), F.bool_or("is_encrypted").alias("has_encrypted"), F.bool_or("hidden").alias("headers_encrypted"),
+        F.count_if(F.col("skipped") | (F.col("split") & ~F.col("complete"))).alias("unverified"), F.min_by("wrong", "at").alias("error"),
     ).withColumn("is_valid", F.col("error").isNull())
 
 

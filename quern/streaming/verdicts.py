@@ -10,7 +10,7 @@ from ..operators import parse, verify
 
 def streamed_summaries(archives: DataFrame) -> DataFrame:
     """Counts by archive over a stream of (archive_id, volume, content) of single archives; state is a row of counts for each archive."""
-    return verify.summary(verify.verdicts(parse.blocks(archives).filter(verify.is_file())))
+    return verify.summary(verify.verdicts(parse.blocks(archives).filter(verify.is_judged())))
 
 
 def windowed_damage(archives: DataFrame, time: str, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:

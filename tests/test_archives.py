@@ -1,5 +1,7 @@
 """Archives written by expressions, read back, judged; small fixtures, damaged in every way that a reader can meet."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,52 @@ def test_a_damaged_entry_that_has_only_blake2sp(spark):
     assert {r.status for r in got.values()} == {verify.OK} and all(bytes(r.blake2sp) == verify.blake2sp(bytes(r.payload)) for r in got.values())
     damaged = create.volumes(plain, 700).withColumn("content", F.when(F.col("volume") == 3, campaign.xor_byte("content", F.octet_length("content") - 30)).otherwise(F.col("content")))
     assert judged(parse.blocks(damaged))["a", "good"].status == verify.MISMATCH
+
+
+def one(spark, content: bytes, *more: bytes):
+    return parse.blocks(spark.createDataFrame([("a", i, c) for i, c in enumerate([content, *more])], "archive_id string, volume int, content binary"))
+
+
+def framed(header: bytes) -> bytes:
+    sized = bytes([len(header)]) + header
+    return zlib.crc32(sized).to_bytes(4, "little") + sized
+
+
+def test_validation_joins_split_entries(spark):
+    e = spark.createDataFrame([("a", 0, "n", bytes(range(250)) * 4, 1, False, False, True)], SCHEMA)
+    for made, want in ((e, "payload CRC32 mismatch"), (e.withColumn("has_crc", F.lit(False)).withColumn("has_blake", F.lit(True)), "payload BLAKE2sp mismatch")):
+        parts = [bytes(r.content) for r in create.volumes(made, 400).orderBy("volume").collect()]
+        assert verify.validation(one(spark, *parts)).first().is_valid
+        last = parts[2][:-20] + bytes([parts[2][-20] ^ 1]) + parts[2][-19:]
+        assert verify.validation(one(spark, parts[0], parts[1], last)).first().error == want
+        assert verify.validation(one(spark, parts[0][:-20] + bytes([parts[0][-20] ^ 1]) + parts[0][-19:], *parts[1:])).first().error == want.replace("payload", "packed-part")
+        assert verify.validation(one(spark, *parts[:2])).first().unverified == 1
+
+
+def test_validation_of_payloads_it_cannot_read(spark):
+    """A compressed entry, whose checksum isn't that of its packed bytes, is unverified; a stored one with a changed digest isn't valid."""
+    packed = bytes([2, 2, 5, 4, 9, 0]) + zlib.crc32(b"unpacked!").to_bytes(4, "little") + bytes([3 << 7 & 127 | 128, 3]) + bytes([1, 1]) + b"n"
+    r = verify.validation(one(spark, parse.NEW + framed(bytes([1, 0, 0])) + framed(packed) + b"12345" + framed(bytes([5, 0, 0])))).first()
+    assert (r.is_valid, r.unverified, r.file_count) == (True, 1, 1)
+    e = spark.createDataFrame([("a", 0, "n", b"payload", 1, False, False, False)], SCHEMA).withColumn("has_blake", F.lit(True)).withColumn("written", F.encode(F.lit("pAyload"), "UTF-8"))
+    assert verify.validation(parse.blocks(create.archives(e))).first().error == "payload BLAKE2sp mismatch"
+
+
+def test_encrypted_headers(spark):
+    new = parse.NEW + framed(bytes([4, 0, 0, 0, 15]) + bytes(16)) + b"cipher" * 9
+    main = bytes([0x73, 0x80, 0, 13, 0]) + bytes(6)
+    old = parse.OLD + (zlib.crc32(main) & 0xFFFF).to_bytes(2, "little") + main + b"cipher" * 9
+    for content in (new, old):
+        b = one(spark, content)
+        r, s = verify.validation(b).first(), verify.summary(verify.verdicts(verify.assembled(b))).first()
+        assert (r.is_valid, r.headers_encrypted, r.error, r.file_count) == (False, True, verify.HEADERS_ENCRYPTED, 0)
+        assert (s.status, s.exit_code, s.entry_count, s.headers_encrypted) == (verify.INCOMPLETE, 69, 0, True)
+
+
+def test_code_before_an_archive(spark, entries):
+    plain = entries.filter("archive_id = 'c'")
+    for made in (create.archives(plain), create.old_archives(plain)):
+        content = bytes(made.first().content)
+        r = verify.validation(one(spark, b"MZ code " * 300 + content)).first()
+        assert r.is_valid and r.file_count == 1
+        assert verify.validation(one(spark, b"MZ code " * 300 + content[:900] + b"?" + content[901:])).first().error == "payload CRC32 mismatch"
