@@ -30,7 +30,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style template textarea noscript iframe svg math object select button canvas audio video".split())
+RAW = frozenset("script style textarea".split())
+#: In the midst of text, with text of their own for the labeller to judge. They end no paragraph unless they hold text.
+PARTS = frozenset("template noscript iframe svg object select button canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SINGLE = frozenset("p li dd dt tr td th h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -45,18 +47,27 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
     out: list[tuple[tuple, str, int]] = []
     path: list[str] = []
     held: list[str] = []
-    state = [0, 0, 0]  # open links, link characters, where to go on
+    spot: list[tuple] = []  # the path of the text in held, once there is any but white space
+    state = [0, 0]  # open links, link characters
+    ends: dict[str, int] = {}  # the next end tag of each part, found when last looked for
 
     def flush() -> None:
         if held:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip(" ")
             if text:
-                out.append((tuple(path), text, state[1]))
+                out.append((spot[0] if spot else tuple(path), text, state[1]))
             held.clear()
+            spot.clear()
         state[1] = 0
 
     def say(text: str) -> None:
         if text:
+            if not text.isspace():
+                here = tuple(path)
+                if spot and spot[0] != here:
+                    flush()
+                if not spot:
+                    spot.append(here)
             held.append(text)
             if state[0]:
                 state[1] += len(text)
@@ -72,8 +83,11 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if tag[1]:
             if name == "a":
                 state[0] = 0
-            elif name in BLOCKS:
-                flush()
+            elif name in BLOCKS or name in PARTS:
+                if name in BLOCKS:
+                    flush()
+                else:
+                    held.append(" ")
                 here = next((k for k in range(len(path) - 1, -1, -1) if path[k].split(" ", 1)[0] == name), None)
                 if here is not None:
                     del path[here:]
@@ -82,6 +96,13 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
             held.append(" ")
+        elif name in PARTS:
+            held.append(" ")
+            if ends.get(name, -1) < at:
+                end = re.compile(rf"</{name}\b", re.I).search(page, at)
+                ends[name] = end.start() if end else len(page) + 1
+            if ends[name] <= len(page) and not tag[0].endswith("/>"):  # without an end tag, only the tag itself is ignored
+                path.append(name)
         elif name in BLOCKS:
             flush()
             top = path[-1].split(" ", 1)[0] if path else ""
@@ -178,6 +199,7 @@ def made_page(rng, lexicon: list[str]) -> tuple[list, np.ndarray]:
     """Blocks of a page from a random template, and which are main text."""
     words = lambda n: " ".join(lexicon[i] for i in rng.integers(0, len(lexicon), n))
     page: list[tuple[str, bool]] = []
+    parts, own = sorted(PARTS), rng.spawn(1)[0]
 
     def sentence(least: int, most: int) -> str:
         text = words(int(rng.integers(least, most)))
@@ -231,6 +253,9 @@ def made_page(rng, lexicon: list[str]) -> tuple[list, np.ndarray]:
             add(f"<p><b>{sentence(1, 30)}<br>", True)
         else:
             add(f"<p>{sentence(1, 120)}" + "</p>" * int(rng.random() < 0.9), True)
+        if own.random() < 0.06:
+            part = parts[own.integers(len(parts))]
+            add(f"<{part}>{' '.join(lexicon[i] for i in own.integers(0, len(lexicon), own.integers(1, 9)))}</{part}>", False)
     if rng.random() < 0.25:
         add(other("comments"), False)
     add(f"</{tag}>" + "</main>" * outer, False)
@@ -334,7 +359,8 @@ def extract(pages: DataFrame, model: BiLSTM, carry: list[str] | None = None) ->
     by line feeds, and n_chars, its code points.
 
     Character references are decoded, white space in a block becomes one space, <br> counts as white space. Null and empty
-    pages, and pages without main blocks, have an empty text. Unclosed tags and comments end with the page. Pages
+    pages, and pages without main blocks, have an empty text. Scripts, styles, form text areas and comments are dropped, unclosed
+    ones with all that follows, and an unclosed tag ends with the page; all other text is labelled. Pages
     of any length are labelled whole. Repeated rows give equal texts; an empty table gives an empty result.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)  # fixed size

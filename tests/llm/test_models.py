@@ -157,6 +157,17 @@ def test_broken_markup(broken):
     assert all(t == t.strip() and t for _, t, _ in html_extract.blocks(broken))
 
 
+@pytest.mark.parametrize("name", sorted(html_extract.PARTS | {"math"}))
+def test_only_scripts_styles_and_text_areas_are_dropped(name):
+    """The article goes on after such an element without an end tag, and the text of a closed one is there to be labelled."""
+    text = lambda page: " ".join(t for _, t, _ in html_extract.blocks(page))
+    assert text(f"<article><p>one <{name}>two<p>three</article><footer>four</footer>") == "one two three four"
+    assert text(f"<article><p>one <{name} class=x>two</{name}> three<p>four</article>") == "one two three four"
+    assert [t for _, t, _ in html_extract.blocks(f"<p>one <{name}></{name}> two<p>three")] == ["one two", "three"]
+    paths = {t: p for p, t, _ in html_extract.blocks(f"<article><p>one <{name}>two</{name}> three</article>")}
+    assert paths == ({"one two three": ("article", "p")} if name == "math" else {"one": ("article", "p"), "two": ("article", "p", name), "three": ("article", "p")})
+
+
 def test_labels_of_unseen_templates(labeller):
     rng = np.random.default_rng(77)
     lexicon = [f"{a}{b}" for a in WORDS for b in "xyz"]
