@@ -45,13 +45,14 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     @F.pandas_udf(own)
     def place(ids: pd.Series) -> pd.DataFrame:
-        keys = mixed_key(ids.fillna(0).to_numpy(np.int64))
+        keys = mixed_key(ids.to_numpy(np.int64))
         return pd.DataFrame({"key": keys.view(np.int64), "bucket": (keys >> np.uint64(52)).astype(np.int32), "shard": jump_hash(keys, shards), "grown": jump_hash(keys, shards + 1)})
 
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     kept = [c for c in docs.columns if c not in made]
-    rows = docs.select(F.struct(*kept).alias("row"), size.alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), place(F.col("doc_id").cast("long")).alias("placed"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))  # pandas would make a column with nulls float64, which rounds ids above 2**53
+    rows = docs.select(F.struct(*kept).alias("row"), size.alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), place(key).alias("placed"))
     rows = rows.select("row", "size", "text_crc32", F.col("placed.key").alias("key"), F.col("placed.shard").alias("shard"), F.col("placed.bucket").alias("bucket"), F.col("placed.grown").alias("grown_shard")).repartition("shard", "bucket")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))

@@ -95,6 +95,13 @@ def test_shards(spark, odd_docs):
     assert sharding.shard_documents(odd_docs.limit(0)).count() == 0
 
 
+def test_shards_of_large_ids_beside_null(spark):
+    ids = [2**53 + 1, 2**60 + 1, 2**62 + 3, -(2**61) - 7, *(2**55 + 2 * k + 1 for k in range(20))]
+    want = dict(zip(ids, sharding.jump_hash(sharding.mixed_key(np.array(ids)), 40), strict=True)) | {None: sharding.jump_hash(sharding.mixed_key(np.array([0])), 40)[0]}
+    docs = spark.createDataFrame([(i, "t") for i in [*ids, None]], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.shard for r in sharding.shard_documents(docs).collect()} == want
+
+
 def test_jump_hash_moves_only_into_the_new_shard():
     keys = sharding.mixed_key(np.arange(20_000))
     before = sharding.jump_hash(keys, 1)
