@@ -176,9 +176,8 @@ def packed_part_crc(spark, sf_dir):
 def orphan_chunks(spark, sf_dir):
     """Without the second volume, the entries that had a piece there beside others are incomplete. A run across the gap
     counts once."""
-    b = parse.blocks(create.volumes(document_entries(spark, sf_dir), 4096)).filter(verify.is_file())
-    whole = b.groupBy("archive_id", "name").agg(F.bool_or(F.col("volume") == 1).alias("touched"), F.count("*").alias("pieces"))
-    return whole.groupBy("archive_id").agg(F.count_if(F.col("touched") & (F.col("pieces") > 1)).alias("incomplete"))
+    b = parse.blocks(create.volumes(document_entries(spark, sf_dir), 4096).filter("volume != 1"))
+    return verify.assembled(b).groupBy("archive_id").agg(F.count_distinct(F.when(~F.col("complete"), F.col("name"))).alias("incomplete"))
 
 
 @query("SELECT {ARCHIVE} AS archive_id, CASE WHEN min(doc_id) FILTER (doc_id % 17 = 0 AND doc_id % 29 <> 0 AND doc_id % 23 <> 0 AND strlen(text) > 0) IS NULL THEN NULL ELSE 'payload CRC32 mismatch' END AS error, count(*) + 2 AS block_count, count(*) AS file_count, count(*) FILTER (doc_id % 29 = 0) AS unverified FROM documents GROUP BY 1")
@@ -263,7 +262,7 @@ def sfx_offset(spark, sf_dir):
 
 @query("SELECT ascii(substr(p_name, i, 1))::INT AS symbol, count(*) AS n FROM part, range(1, 65) r(i) WHERE i <= length(p_name) GROUP BY 1")
 def symbol_histogram(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.explode(F.split(F.substring("p_name", 1, 64), "")).alias("c")).filter("c != ''")
+    p = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", "")).alias("c")).filter("c != ''")
     return p.groupBy(F.ascii("c").alias("symbol")).agg(F.count("*").alias("n"))
 
 
@@ -274,7 +273,7 @@ def symbol_histogram(spark, sf_dir):
 def delta_filter(spark, sf_dir):
     from pyspark.sql import Window
 
-    p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split(F.substring("p_name", 1, 64), "")).alias("k", "c")).filter("c != ''")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", "")).alias("k", "c")).filter("c != ''")
     w = Window.partitionBy("p_partkey", F.col("k") % 3).orderBy("k")
     return p.select("p_partkey", (F.col("k") + 1).alias("at"), (-F.sum(F.ascii("c")).over(w)).bitwiseAND(F.lit(255).cast("long")).alias("filtered"))
 

@@ -36,6 +36,20 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == want
 
 
+def test_orphan_chunks_of_repeated_names(spark, tmp_path):
+    """Two unsplit entries of one name in the second volume aren't pieces of one entry; one that begins before it is incomplete."""
+    rows = [(0, "a" * 4096, "en", "s"), (1, "b" * 100, "en", "s"), (1, "b" * 100, "en", "s"), (1000, "c" * 9000, "en", "s"), (1001, "d", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.archive_id: r.incomplete for r in catalogue.QUERIES["orphan_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {"s-0": 0, "s-1": 1}
+
+
+def test_names_of_any_length(spark, tmp_path):
+    spark.createDataFrame([(1, "ab" * 50)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    assert {r.symbol: r.n for r in catalogue.QUERIES["symbol_histogram"](spark, str(tmp_path)).collect()} == {97: 50, 98: 50}
+    assert catalogue.QUERIES["delta_filter"](spark, str(tmp_path)).count() == 100
+
+
 def test_entry_without_the_corpus_part(tmp_path):
     """The entry module imports, and keeps the other queries, where that part was taken out."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
