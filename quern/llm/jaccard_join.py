@@ -108,7 +108,7 @@ def active(text: DataFrame, reps: DataFrame, n: int, threshold: int, slices: Sli
         give_back()
         return out
 
-    def respond(sums: np.ndarray) -> bytes:  # 0: held by one class; else 1 + log2, rounded down
+    def respond(sums: np.ndarray, chunk: int) -> bytes:  # 0: held by one class; else 1 + log2, rounded down
         return np.log2(sums[0]).astype(np.uint8).__add__(sums[0] > 1).astype(np.uint8).tobytes()
 
     def receive(key, part, side):

@@ -10,7 +10,9 @@ document's score is the mean over its words of the target model's loss minus the
 lower, the more it resembles the target.
 
 Counts cover every word of every text. Chunks send their distinct words, then their distinct bigrams, with counts;
-hash slices add them up and answer (see ``shared``). No table of words ever meets in one place.
+hash slices add them up and answer (see ``shared``). How often a word is followed by another, c(v .), is its count less the
+documents that it ends, so only words carry it. No table of words ever meets in one place: of the vocabulary, chunks
+learn seven sums.
 """
 
 from __future__ import annotations
@@ -20,117 +22,135 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SEGMENT, LOWER_WORDS, Slices, Words, add_up, answers, chunks_for, deal, pack32, partitions, rows_of, segments, unpack32, volume, windows
+from .shared import LOWER_WORDS, SEGMENT, Slices, Words, add_up, chunk_of, chunks_for, pack64, partitions, rows_of, segments, unpack64, volume, windows
 
 _UNKNOWN = np.uint64(0x5851F42D4C957F2D)
+#: Kinds of answers: of words, of bigrams, and the sums over all words.
+_WORD, _PAIR, _TOTAL = 1, 2, 101
 
 
-def _two(data: np.ndarray, n: int) -> np.ndarray:
-    return data.reshape(2, n)
+def _answers(side: pa.Table, kind: int) -> list[bytes]:
+    """The answers of one kind, in the order of the slices."""
+    rows = zip(*(side.column(n).to_pylist() for n in ("_kind", "_part", "data")), strict=True)
+    return [d for _, d in sorted((p, d) for k, p, d in rows if k == kind)]
 
 
-class _Side:
-    """Answers to a chunk: (background, target) counts of its sorted distinct hashes."""
-
-    def __init__(self, side: pa.Table, kind: int):
-        rows = sorted((p, d) for k, p, d in zip(*(side.column(n).to_pylist() for n in ("_kind", "_part", "data")), strict=True) if k == kind)
-        parts = [_two(unpack32(d), len(d) // 8) for _, d in rows]
-        self.counts = np.concatenate(parts, axis=1).astype(np.int64) if parts else np.zeros((2, 0), np.int64)
+def _counts(side: pa.Table, kind: int, height: int) -> np.ndarray:
+    """The counts that answer a chunk's sorted distinct hashes: ``height`` rows."""
+    parts = [unpack64(d).reshape(height, -1) for d in _answers(side, kind)]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((height, 0), np.int64)
 
 
 class _Chunk:
+    """The words of a chunk by place. Chunks below 0 hold target texts."""
+
     def __init__(self, part: pa.Table):
         self.words = Words(rows_of(part, "text"), LOWER_WORDS)
         self.distinct, self.where, self.counts = np.unique(self.words.hashes, return_inverse=True, return_counts=True)
-        n = len(self.words.hashes)
-        self.follows = np.ones(max(0, n - 1), bool)  # word k + 1 is in the same document as word k
-        inner = self.words.at[1:-1]
-        self.follows[inner[(inner > 0) & (inner < n)] - 1] = False
-
-    def known(self, side: pa.Table, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-        """The words' hashes with unknown ones replaced, and by word whether it is known."""
-        ok = (_Side(side, 1).counts.sum(0) >= min_count)[self.where] if len(self.where) else np.zeros(0, bool)
-        return np.where(ok, self.words.hashes, _UNKNOWN), ok
-
-    def bigrams(self, hashes: np.ndarray):
-        """Sorted distinct: each bigram, and each word as the first of one (tagged), with counts and places."""
+        at = self.words.at
+        self.n_words = np.diff(at)
+        self.owner = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        self.last = at[1:][self.n_words > 0] - 1
+        self.follows = self.owner[1:] == self.owner[:-1]  # word k + 1 is in the same document as word k
+
+    def ends(self) -> np.ndarray:
+        """How many documents each distinct word ends."""
+        return np.bincount(self.where[self.last], minlength=len(self.distinct))
+
+    def pairs(self, known: np.ndarray, slices: Slices):
+        """Sorted distinct (reduced) bigrams with places and counts; ``known`` by distinct word."""
+        hashes = np.where(known[self.where], self.words.hashes, _UNKNOWN)
         pairs = windows(hashes, 2)[self.follows] if len(hashes) > 1 else np.zeros(0, np.uint64)
-        heads = windows(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5), 1)[:-1][self.follows] if len(hashes) > 1 else pairs
-        return np.unique(np.concatenate([pairs, heads]), return_inverse=True, return_counts=True)
-
-
-def _weights(counts: np.ndarray, target: bool) -> np.ndarray:
-    zero = np.zeros_like(counts)
-    return np.stack([zero, counts] if target else [counts, zero])
-
-
-def _respond(sums: np.ndarray) -> bytes:
-    return pack32(sums)
+        return np.unique(slices.reduce(pairs), return_inverse=True, return_counts=True)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, min_count: int = 2, weight: float = 0.7) -> DataFrame:
     """doc_id, n_words, n_unknown, loss_target, loss_background and score of every document; ``target`` has the
-    columns doc_id and text.
+    column text.
 
     Null and empty texts have no words, losses of 0 and a score of 0. Repeated rows count and score each. An empty
     target leaves the target model uniform over the vocabulary. Other columns aren't read. Words are lower-cased (A-Z)
-    runs of anything but white space. Counts above 2**32 - 1 in one sum aren't supported.
+    runs of anything but white space. A document's losses are added in the order of its words, so they don't depend on how rows
+    arrive. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     n, m = chunks_for(volume(docs)), chunks_for(volume(target))
-    slices = Slices(n + m, partitions(spark, n + m))
-    text, goal = deal(docs, n, "doc_id", "text"), deal(target, m, "doc_id", "text").withColumn("_chunk", -2 - F.col("_chunk"))
+    width = partitions(spark, n + m)
+    words, bigrams = Slices(n + m, width), Slices(n + m, width, 6)
+    kind = dict(docs.dtypes)["doc_id"]
+    goal = target.select((-2 - chunk_of(m, "text")).alias("_chunk"), F.lit(None).cast(kind).alias("doc_id"), "text")
+    text = docs.select(chunk_of(n, "doc_id", "text").alias("_chunk"), "doc_id", "text").union(goal).repartition(width, "_chunk")
 
-    def words_of(is_target: bool):
-        def send(key, part):
-            chunk = _Chunk(part)
-            return segments(key[0].as_py(), chunk.distinct, _weights(chunk.counts, is_target), slices)
+    # Words: (count, documents that it ends), of background and of target.
+    def send_words(key, part):
+        chunk = _Chunk(part)
+        return segments(key[0].as_py(), chunk.distinct, np.stack([chunk.counts, chunk.ends()]), words)
+
+    def known(sums: np.ndarray) -> np.ndarray:
+        return sums[0] + sums[2] >= min_count
+
+    def answer_words(sums: np.ndarray, chunk: int) -> bytes:
+        return pack64(sums) if chunk >= 0 else pack64(known(sums).astype(np.int64))
+
+    def total(sums: np.ndarray) -> bytes:
+        rare = sums[:, ~known(sums)].sum(1)
+        return pack64(np.array([known(sums).sum(), sums[0].sum(), sums[2].sum(), rare[0], rare[2], rare[0] - rare[1], rare[2] - rare[3]]))
 
-        return send
+    single = add_up(text.groupBy("_chunk").applyInArrow(send_words, SEGMENT), words, _WORD, answer_words, 2, 2, total).repartition(width, "_chunk")
 
-    def summary(sums: np.ndarray) -> bytes:
-        known = sums.sum(0) >= min_count
-        return np.array([known.sum(), *sums.sum(1), *sums[:, ~known].sum(1)], np.int64).tobytes()
+    # One row of sums, from one of each slice, and back to each background chunk.
+    def add_totals(batches):
+        sums = np.zeros(7, np.int64)
+        for batch in batches:
+            rows = zip(batch.column("_kind").to_pylist(), batch.column("data").to_pylist(), strict=True)
+            sums += sum((unpack64(d) for k, d in rows if k == _TOTAL), np.zeros(7, np.int64))
+        yield pa.RecordBatch.from_pydict({f"t{i}": pa.array([x], pa.int64()) for i, x in enumerate(sums.tolist())})
 
-    sent = text.groupBy("_chunk").applyInArrow(words_of(False), SEGMENT).union(goal.groupBy("_chunk").applyInArrow(words_of(True), SEGMENT))
-    single = add_up(sent, slices, 1, _respond, 2, summary, [*range(n), *range(-1 - m, -1)])
+    def pack_totals(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((_TOTAL, pa.int32()), (0, pa.int32()), (pack64(np.array([row[f"t{i}"] or 0 for i in range(7)])), pa.binary()))], names=["_kind", "_part", "data"])
 
-    def pairs_of(is_target: bool):
-        def send(key, part, side):
-            chunk = _Chunk(part)
-            u, _, counts = chunk.bigrams(chunk.known(side, min_count)[0])
-            return segments(key[0].as_py(), u, _weights(counts, is_target), slices)
+    sums = single.mapInArrow(add_totals, ", ".join(f"t{i} long" for i in range(7))).agg(*(F.sum(f"t{i}").alias(f"t{i}") for i in range(7)))
+    one = sums.mapInArrow(pack_totals, "_kind int, _part int, data binary")
+    totals = one.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_chunk"), "_kind", "_part", "data").repartition(width, "_chunk")
 
-        return send
+    # Bigrams.
+    def send_pairs(key, part, side):
+        chunk, number = _Chunk(part), key[0].as_py()
+        own = _counts(side, _WORD, 4 if number >= 0 else 1)
+        u, _, counts = chunk.pairs(known(own) if number >= 0 else own[0] > 0, bigrams)
+        return segments(number, u, counts, bigrams)
 
-    own, theirs = single.filter("_chunk >= 0"), single.filter("_chunk < -1")
-    sent = text.groupBy("_chunk").cogroup(own.groupBy("_chunk")).applyInArrow(pairs_of(False), SEGMENT)
-    sent = sent.union(goal.groupBy("_chunk").cogroup(theirs.groupBy("_chunk")).applyInArrow(pairs_of(True), SEGMENT))
-    double = add_up(sent, slices, 2, _respond, 2).filter("_chunk >= 0")
+    def answer_pairs(sums: np.ndarray, chunk: int) -> bytes | None:
+        return pack64(sums) if chunk >= 0 else None  # target chunks aren't scored
+
+    double = add_up(text.groupBy("_chunk").cogroup(single.groupBy("_chunk")).applyInArrow(send_pairs, SEGMENT), bigrams, _PAIR, answer_pairs, 1, 2).repartition(width, "_chunk")
 
     def score(key, part, side):
         chunk = _Chunk(part)
-        totals = answers(side, 101, np.int64).reshape(-1, 5).sum(0)
-        vocabulary, size, unknown = int(totals[0]), totals[1:3], totals[3:5]
-        hashes, ok = chunk.known(side, min_count)
-        uni = _Side(side, 1).counts[:, chunk.where] if len(chunk.where) else np.zeros((2, 0), np.int64)
-        uni = np.where(ok, uni, unknown[:, None])
-        low = (uni + 1) / (size[:, None] + vocabulary + 1)
-        _, where, _ = chunk.bigrams(hashes)
-        counts = _Side(side, 2).counts
-        k = int(chunk.follows.sum())
-        pair, head = counts[:, where[:k]], counts[:, where[k:]]
-        p = low.copy()
-        second = np.flatnonzero(chunk.follows) + 1
-        p[:, second] = np.where(head > 0, weight * pair / np.maximum(head, 1) + (1 - weight) * low[:, second], low[:, second])
-        loss = np.concatenate([np.zeros((2, 1)), np.cumsum(-np.log(p), axis=1)], axis=1)
-        missing = np.concatenate([[0], np.cumsum(~ok)])
-        at, n_words = chunk.words.at, np.diff(chunk.words.at)
-        mean = (loss[:, at[1:]] - loss[:, at[:-1]]) / np.maximum(n_words, 1)
-        return pa.table({
-            "doc_id": part.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_unknown": pa.array(missing[at[1:]] - missing[at[:-1]], pa.int64()),
-            "loss_target": pa.array(mean[1]), "loss_background": pa.array(mean[0]), "score": pa.array(mean[1] - mean[0]),
-        })
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return text.groupBy("_chunk").cogroup(own.union(double).groupBy("_chunk")).applyInArrow(score, f"doc_id {kind}, n_words long, n_unknown long, loss_target double, loss_background double, score double")
+        if key[0].as_py() < 0 or not part.num_rows:
+            return _scores(part.slice(0, 0), *(np.zeros(0),) * 4)
+        own = _counts(side, _WORD, 4)
+        vocabulary, *rest = unpack64(_answers(side, _TOTAL)[0]).tolist()
+        size, rare, rare_heads = np.array(rest, np.int64).reshape(3, 2)
+        ok = known(own)[chunk.where]
+        count = np.where(ok, own[[0, 2]][:, chunk.where], rare[:, None])
+        head = np.where(ok, (own[[0, 2]] - own[[1, 3]])[:, chunk.where], rare_heads[:, None])
+        p = (count + 1) / (size[:, None] + vocabulary + 1)
+        pair = _counts(side, _PAIR, 2)[:, chunk.pairs(known(own), bigrams)[1]]
+        first = np.flatnonzero(chunk.follows)
+        before, low = head[:, first], p[:, first + 1]
+        p[:, first + 1] = np.where(before > 0, weight * pair / np.maximum(before, 1) + (1 - weight) * low, low)
+        loss = [np.bincount(chunk.owner, weights=x, minlength=part.num_rows) / np.maximum(chunk.n_words, 1) for x in -np.log(p)]
+        return _scores(part, chunk.n_words, np.bincount(chunk.owner, weights=~ok, minlength=part.num_rows), loss[1], loss[0])
+
+    side = single.union(double).union(totals)
+    return text.groupBy("_chunk").cogroup(side.groupBy("_chunk")).applyInArrow(score, f"doc_id {kind}, n_words long, n_unknown long, loss_target double, loss_background double, score double")
+
+
+def _scores(part: pa.Table, n_words, n_unknown, target, background) -> pa.Table:
+    return pa.table({
+        "doc_id": part.column("doc_id"), "n_words": pa.array(n_words.astype(np.int64)), "n_unknown": pa.array(n_unknown.astype(np.int64)),
+        "loss_target": pa.array(target), "loss_background": pa.array(background), "score": pa.array(target - background),
+    })

@@ -220,12 +220,13 @@ ANSWER = "_chunk int, _kind int, _part int, data binary"
 
 
 class Slices:
-    """2**bits equal ranges of the 64-bit hashes. ``width``: bytes of a hash that a segment holds (8, or 4 where
-    the leading 32 + bits bits suffice)."""
+    """2**bits equal ranges of the 64-bit hashes. ``width``: bytes of a hash that a segment holds besides its slice, so hashes
+    are compared by their leading bits + 8 * width bits (64 at most)."""
 
     def __init__(self, n_chunks: int, n_partitions: int, width: int = 8):
         self.bits = max(3, (max(n_partitions, min(4 * n_partitions, n_chunks), n_chunks // 8) - 1).bit_length())
-        self.width = width
+        self.low = min(64 - self.bits, 8 * width)  # bits of a hash within its slice
+        self.width = -(-self.low // 8)
 
     @property
     def count(self) -> int:
@@ -233,68 +234,93 @@ class Slices:
 
     def reduce(self, h: np.ndarray) -> np.ndarray:
         """The part of a hash that is compared."""
-        return h if self.width == 8 else h >> _U(32 - self.bits)
+        return h >> _U(64 - self.bits - self.low)
 
     def cut(self, u: np.ndarray) -> list[tuple[int, int, int]]:
         """(slice, from, to) of the slices that the sorted reduced hashes u fall in."""
-        shift = _U(64 - self.bits) if self.width == 8 else _U(32)
-        at = np.append(np.searchsorted(u, np.arange(self.count, dtype=np.uint64) << shift), len(u))
+        at = np.append(np.searchsorted(u, np.arange(self.count, dtype=np.uint64) << _U(self.low)), len(u))
         return [(int(p), int(at[p]), int(at[p + 1])) for p in np.flatnonzero(np.diff(at))]
 
 
-def pack32(x: np.ndarray) -> bytes:
-    """uint32 numbers, all lowest bytes first: small numbers leave runs of zeros, which shuffles compress away."""
-    return np.ascontiguousarray(x, dtype="<u4").reshape(-1, 1).view(np.uint8).T.tobytes()
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
-def unpack32(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of numbers, bytes of one weight together."""
+    return np.ascontiguousarray(x, dtype="<u8").reshape(-1, 1).view(np.uint8)[:, :width].T.tobytes()
+
+
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return wide.view("<u8").ravel()
+
+
+def pack64(x: np.ndarray) -> bytes:
+    """Numbers from 0 on (of any number of axes, which are lost) by bytes of one weight, compressed: small ones cost little."""
+    return x.size.to_bytes(4, "little") + _ZSTD.compress(_planes(x.ravel(), 8), asbytes=True)
+
+
+def unpack64(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    return _from_planes(_ZSTD.decompress(data[4:], 8 * n, asbytes=True), 8).view(np.int64) if n else np.zeros(0, np.int64)
 
 
 def pack_sorted(u: np.ndarray, width: int) -> bytes:
     """Sorted numbers as their differences, bytes of one weight together: the leading planes are mostly zeros."""
-    step = np.diff(u.astype(np.uint64), prepend=np.uint64(0)).astype(f"<u{width}")
-    return step.reshape(-1, 1).view(np.uint8).T.tobytes()
+    return _planes(np.diff(u.astype(np.uint64), prepend=np.uint64(0)), width)
 
 
 def unpack_sorted(data: bytes, width: int) -> np.ndarray:
-    step = np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel()
-    return np.cumsum(step, dtype=f"<u{width}")
+    return np.cumsum(_from_planes(data, width), dtype=np.uint64)
 
 
 def segments(chunk: int, u: np.ndarray, weights: np.ndarray, slices: Slices) -> pa.Table:
-    """Sorted distinct reduced hashes of a chunk, packed by slice; weights: uint32, one row or several a hash."""
-    w = np.ascontiguousarray(weights, dtype=np.uint32).reshape(-1, max(1, len(u)))
-    low = np.uint64(2 ** (8 * slices.width) - 1)
-    rows = [(p, pack_sorted(u[a:b] & low, slices.width), pack32(w[:, a:b])) for p, a, b in slices.cut(u)]
+    """Sorted distinct reduced hashes of a chunk, packed by slice; weights: one row or several a hash."""
+    w = weights.reshape(-1, max(1, len(u)))
+    low = np.uint64(2**slices.low - 1)
+    rows = [(p, pack_sorted(u[a:b] & low, slices.width), pack64(w[:, a:b])) for p, a, b in slices.cut(u)]
     return pa.table({
         "_part": pa.array([r[0] for r in rows], pa.int32()), "_chunk": pa.array([chunk] * len(rows), pa.int32()),
         "vals": pa.array([r[1] for r in rows], pa.binary()), "weights": pa.array([r[2] for r in rows], pa.binary()),
     })
 
 
-def add_up(segs: DataFrame, slices: Slices, kind: int, respond, n_weights: int = 1, summary=None, all_chunks=()) -> DataFrame:
-    """Adds the weights of each hash over all segments of its slice; ``respond`` turns the sums (n_weights x m, int64)
-    that belong to one segment into the bytes sent back to its chunk. ``summary`` turns the sums of a whole slice into
-    bytes; every chunk of ``all_chunks`` gets those of all slices, as kind + 100."""
+#: The chunk to which the summaries of slices go.
+NOBODY = -1
+
+
+def add_up(segs: DataFrame, slices: Slices, kind: int, respond, n_weights: int = 1, n_sides: int = 1, summary=None) -> DataFrame:
+    """Adds the weights of each hash over all segments of its slice. ``respond(sums, chunk)`` turns the sums (n_sides * n_weights
+    rows, int64) that belong to one segment into the bytes sent back to its chunk (None: nothing is sent). With two sides, chunks below 0
+    add to the second one. ``summary`` turns the sums of a whole slice into bytes, sent to NOBODY as kind + 100."""
+    columns = ("_part", "_chunk", "vals", "weights")
+
+    def total(rows: list, where: np.ndarray, n: int) -> np.ndarray:
+        weights = np.concatenate([r[3] for r in rows], axis=1)
+        if n_sides == 1:
+            return np.stack([np.bincount(where, weights=w, minlength=n) for w in weights]).astype(np.int64)
+        second = np.repeat([r[1] < 0 for r in rows], [len(r[2]) for r in rows])
+        sides = [np.bincount(where[own], weights=w[own], minlength=n) for own in (~second, second) for w in weights]
+        return np.stack(sides).astype(np.int64)
+
     def run(batches):
-        rows = [(p, c, unpack_sorted(v, slices.width), unpack32(w).reshape(n_weights, -1)) for b in batches for p, c, v, w in zip(*(b.column(n).to_pylist() for n in ("_part", "_chunk", "vals", "weights")), strict=True)]
         by: dict[int, list] = {}
-        for r in rows:
-            by.setdefault(r[0], []).append(r)
-        del rows
-        for part, rows in by.items():
+        for b in batches:
+            for part, chunk, v, w in zip(*(b.column(n).to_pylist() for n in columns), strict=True):
+                by.setdefault(part, []).append((part, chunk, unpack_sorted(v, slices.width), unpack64(w).reshape(n_weights, -1)))
+        for part in list(by):
+            rows = by.pop(part)
             u, where = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-            sums = np.stack([np.bincount(where, weights=np.concatenate([r[3][k] for r in rows]), minlength=len(u)) for k in range(n_weights)]).astype(np.int64)
+            sums = total(rows, where, len(u))
             at = np.cumsum([0, *(len(r[2]) for r in rows)])
+            out = [(r[1], kind, respond(sums[:, where[a:b]], r[1])) for r, a, b in zip(rows, at, at[1:], strict=False)]
             if summary is not None:
-                n = len(all_chunks)
-                yield pa.RecordBatch.from_pydict({"_chunk": pa.array(all_chunks, pa.int32()), "_kind": pa.array([kind + 100] * n, pa.int32()), "_part": pa.array([part] * n, pa.int32()), "data": pa.array([summary(sums)] * n, pa.binary())})
+                out.append((NOBODY, kind + 100, summary(sums)))
+            out = [r for r in out if r[2] is not None]
             yield pa.RecordBatch.from_pydict({
-                "_chunk": pa.array([r[1] for r in rows], pa.int32()), "_kind": pa.array([kind] * len(rows), pa.int32()), "_part": pa.array([part] * len(rows), pa.int32()),
-                "data": pa.array([respond(sums[:, where[a:b]]) for a, b in zip(at, at[1:], strict=False)], pa.binary()),
+                "_chunk": pa.array([r[0] for r in out], pa.int32()), "_kind": pa.array([r[1] for r in out], pa.int32()), "_part": pa.array([part] * len(out), pa.int32()), "data": pa.array([r[2] for r in out], pa.binary()),
             })
-        del by
         give_back()
 
     return segs.repartitionById(slices.count, F.col("_part")).mapInArrow(run, ANSWER)

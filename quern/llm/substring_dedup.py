@@ -82,7 +82,7 @@ def _sender(k: int, lengths: list[int], slices: list[Slices]):
     return later if k else lambda key, part: later(key, part, None)
 
 
-def _respond(sums: np.ndarray) -> bytes:
+def _respond(sums: np.ndarray, chunk: int) -> bytes:
     return np.packbits(sums[0] > 1).tobytes()
 
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.llm import decontam, mixing, sharding, token_counts, topk
-from quern.llm.shared import Words, pack32, pack_sorted, unpack32, unpack_sorted
+from quern.llm.shared import Words, pack64, pack_sorted, unpack64, unpack_sorted
 
 from .conftest import texts
 
@@ -21,11 +21,13 @@ LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
 # ---------------------------------------------------------------- shared
 
-@given(st.lists(st.integers(0, 2**64 - 1), max_size=50, unique=True), st.lists(st.integers(0, 2**32 - 1), max_size=50))
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50, unique=True), st.lists(st.integers(0, 2**60), max_size=50))
 def test_packing(u, w):
     u = np.array(sorted(u), np.uint64)
     assert (unpack_sorted(pack_sorted(u, 8), 8) == u).all()
-    assert unpack32(pack32(np.array(w, np.uint32))).tolist() == w
+    assert unpack64(pack64(np.array(w, np.int64))).tolist() == w
+    low = np.sort(u & np.uint64(2**40 - 1))
+    assert (unpack_sorted(pack_sorted(low, 5), 5) == low).all()
 
 
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aAb \t\né", max_size=20)), max_size=8))
