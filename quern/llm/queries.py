@@ -22,7 +22,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns from labelled rows that aren't held out, at most toxicity.MOST_LABELLED of each kind."""
+    """Learns from labelled rows that aren't held out, within toxicity.Bounds."""
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
     return toxicity.score_documents(documents, model, carry=["doc_id"]).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")

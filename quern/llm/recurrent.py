@@ -34,7 +34,7 @@ def _uniform(rng, *shape):
 
 
 class GRUAttention:
-    """Reads X (sequences x steps x inputs) both ways, pools the states by attention.
+    """Reads X (steps x sequences x inputs) both ways, pools the states by attention.
 
     ``project`` is the input half of every gate, which callers can compute once for each distinct input; ``run`` is the rest.
     """
@@ -50,11 +50,11 @@ class GRUAttention:
     def project(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"]], axis=-1).astype(F4)
 
-    def run(self, projected: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """projected: steps x sequences x 6 hidden; mask: steps x sequences. The pooled states, sequences x 2 hidden."""
+    def states(self, projected: np.ndarray, mask: np.ndarray, saved: list | None = None) -> np.ndarray:
+        """projected: steps x sequences x 6 hidden; mask: steps x sequences. The states, steps x sequences x 2 hidden."""
         t, n, h = len(projected), projected.shape[1], self.h
         states = np.zeros((t, n, 2 * h), F4)
-        saved, full = [], mask.all(1)
+        full = mask.all(1)
         for k, d in enumerate("fb"):
             state, own, u = np.zeros((n, h), F4), projected[:, :, 3 * h * k : 3 * h * (k + 1)], self.p[f"U{d}"]
             for i in range(t) if d == "f" else range(t - 1, -1, -1):
@@ -66,9 +66,19 @@ class GRUAttention:
                 after = new + z * (state - new)
                 if not full[i]:
                     after = np.where(m > 0, after, state)
-                if keep is not None:
+                if saved is not None:
                     saved.append((k, i, state, z, r, new, hu[:, 2 * h :], m))
                 state = states[i, :, h * k : h * (k + 1)] = after
+        return states
+
+    def attention(self, states: np.ndarray) -> np.ndarray:
+        """How much each state counts where states are pooled, before the softmax."""
+        return np.tanh(states @ self.p["A"]) @ self.p["a"]
+
+    def run(self, projected: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """The pooled states, sequences x 2 hidden, of what ``states`` takes."""
+        saved: list | None = None if keep is None else []
+        states = self.states(projected, mask, saved)
         e = np.tanh(states @ self.p["A"])
         s = np.where(mask > 0, e @ self.p["a"], -1e9)
         w = np.exp(s - s.max(0))

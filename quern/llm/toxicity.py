@@ -1,13 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-A word is a character network's pooled state (a BiGRU over its UTF-8 bytes) beside an embedding of its hash; a window of
-words is a second BiGRU's pooled state; a logistic head scores it. A document's score comes from its highest
-window: all overlapping windows of the whole text are scored, so length hides nothing.
-
-Training takes at most ``most_labelled`` labelled documents of each kind, chosen by a hash of their id. Which words make a document
-toxic isn't labelled, so byte n-grams and words that occur in toxic documents far more than chance allows (an exponential
-bound on the binomial tail, divided by the number tried) mark the words that the character network learns first and the
-windows that the word network learns then; documents' own labels fit the last scale and offset.
+A word is a character network's pooled state (a BiGRU over its UTF-8 bytes) beside an embedding of its hash; a second BiGRU
+reads the words of a text both ways; attention pools its states over a window of WINDOW words, and a logistic head scores
+the window. A document's score comes from its highest window: all overlapping windows of the whole text, one from every word
+on, are scored, so neither length nor where a passage stands hides anything. They share the recurrence: a word's state is
+computed once each way, from CONTEXT words or more before it, and windows pool the states they cover.
+
+Training takes labelled documents within ``Bounds``. Which words make a document toxic isn't labelled, so byte n-grams and words that
+occur in toxic documents far more than chance allows (an exponential bound on the binomial tail, divided by the number tried)
+mark words; the character network learns those first, the word network windows with them. Then the documents' own labels
+train the word network: the highest window of every document has its label, in some rounds; and they fit the last scale and offset.
 """
 
 from __future__ import annotations
@@ -17,21 +19,42 @@ import re
 import zlib
 from collections import Counter
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .recurrent import F4, Adam, GRUAttention, sigmoid
 from .shared import give_back, mix64, pieces, rows_of, windows
 
-#: Words of a window, and from one window's start to the next.
-WINDOW, STRIDE = 32, 24
+#: Words of a window (a power of two); words of a block whose states are computed together, and around it for context.
+WINDOW, SPAN, CONTEXT = 32, 160, 16
+#: Blocks that are computed together.
+BATCH = 512
+#: From one training window's start to the next.
+STRIDE = 24
 #: Bytes of a word that the character network reads at once; longer words become overlapping pieces.
 PIECE = 24
 BUCKETS, WORD_DIM, BYTE_DIM, CHAR_HIDDEN, WORD_HIDDEN = 4096, 8, 8, 10, 8
-MOST_LABELLED = 1500
+
+
+class Bounds(NamedTuple):
+    """What training takes at most. Documents are chosen by a hash of their id, words by a hash, windows at random."""
+
+    documents: int = 1500  #: labelled documents of each kind
+    text_bytes: int = 64 << 20  #: of all of them
+    frequent_words: int = 1000  #: of clean documents, the most frequent ones
+    plain_words: int = 5000  #: others of clean documents
+    tried_words: int = 60_000  #: of clean documents, among which those most like toxic ones are looked for
+    hard_words: int = 2000  #: of these, in each of two rounds
+    toxic_windows: int = 3000
+    clean_windows: int = 20_000  #: among which the hardest are looked for
+    first_windows: int = 5000  #: of these, before that
+    hard_windows: int = 2000
+
+
 #: Distinct words whose inputs a task remembers.
 MEMORY = 80_000
 
@@ -93,7 +116,7 @@ class Model:
 
 
 def window_starts(n: int) -> np.ndarray:
-    """Every word is in a window, and neighbouring windows overlap."""
+    """Starts of training windows: every word is in one."""
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
 
@@ -123,35 +146,62 @@ class Scorer:
         return ids
 
     def __call__(self, texts: list[bytes | None]) -> np.ndarray:
-        words = [tokens(t or b"") for t in texts]
-        out = np.full(len(texts), -np.inf)
+        return self.best([tokens(t or b"") for t in texts])[0]
+
+    def best(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The highest window's logit (-inf without words) and its first word, of each text given as words."""
+        out, first = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
         group, size = [], 0
-        for i, w in enumerate(words):
-            group.append(i)
+        for i, w in enumerate(texts):
+            group += [i] if w else []
             size += len(w)
-            if size > 100_000 or i == len(words) - 1:
-                self._score(group, words, out)
+            if group and (size > 100_000 or i == len(texts) - 1):
+                out[group], first[group] = self._best([texts[k] for k in group])
                 group, size = [], 0
+        return out, first
+
+    def states(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The word network's state at each word; text i has the words at[i] to at[i + 1]. A text is read in blocks of SPAN words,
+        each from CONTEXT words before it on, and backwards from CONTEXT words after it."""
+        sizes = np.diff(at)
+        per = -(-sizes // SPAN)
+        owner = np.repeat(np.arange(len(sizes)), per)
+        a = at[owner] + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * SPAN
+        b = np.minimum(a + SPAN, at[owner + 1])
+        lo, hi = np.maximum(a - CONTEXT, at[owner]), np.minimum(b + CONTEXT, at[owner + 1])
+        out = np.zeros((len(ids), 2 * WORD_HIDDEN), F4)
+        order = np.argsort(hi - lo, kind="stable")
+        for k in range(0, len(order), BATCH):
+            pick = order[k : k + BATCH]
+            place = lo[pick] + np.arange((hi - lo)[pick].max())[:, None]
+            states = self.model.words.states(self.table[ids[np.minimum(place, len(ids) - 1)]], (place < hi[pick]).astype(F4))
+            own = (place >= a[pick]) & (place < b[pick])
+            out[place[own]] = states[own]
         return out
 
-    def of_windows(self, samples: list[list[bytes]]) -> np.ndarray:
-        """The logit of each window."""
-        return self([b" ".join(w) for w in samples])
-
-    def _score(self, group: list[int], words: list[list[bytes]], out: np.ndarray) -> None:
-        ids = self._ids([w for i in group for w in words[i]])
-        at = np.cumsum([0, *(len(words[i]) for i in group)])
-        starts = [window_starts(len(words[i])) + a for i, a in zip(group, at, strict=False) if words[i]]
-        owner = np.repeat([i for i in group if words[i]], [len(s) for s in starts])
-        if not len(owner):
-            return
-        ends = np.repeat([b for i, b in zip(group, at[1:], strict=True) if words[i]], [len(s) for s in starts])
-        starts = np.concatenate(starts)
-        for a in range(0, len(starts), 1024):
-            place = starts[a : a + 1024] + np.arange(WINDOW)[:, None]
-            mask = (place < ends[a : a + 1024]).astype(F4)
-            some = self.model.window_logits(self.table[ids[np.minimum(place, len(ids) - 1)]], mask)
-            np.maximum.at(out, owner[a : a + 1024], some)
+    def _best(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(w) for w in texts])
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        states = self.states(self._ids([w for t in texts for w in t]), at)
+        # Texts laid out with at least WINDOW places each; weights and weighted states are summed over WINDOW places by doubling.
+        room = np.maximum(sizes, WINDOW)
+        start = np.concatenate([[0], np.cumsum(room)])
+        weight = self.model.words.attention(states)
+        weight = np.exp(weight - weight.max())
+        sums = np.zeros((start[-1], 1 + 2 * WORD_HIDDEN), F4)
+        place = np.arange(at[-1]) + np.repeat(start[:-1] - at[:-1], sizes)
+        sums[place, 0] = weight
+        sums[place, 1:] = weight[:, None] * states
+        step = 1
+        while step < WINDOW:
+            sums[:-step] += sums[step:].copy()
+            step *= 2
+        logit = (sums[:, 1:] @ self.model.head["w"]) / np.maximum(sums[:, 0], 1e-37) + self.model.head["b"]
+        owner = np.repeat(np.arange(len(room)), room)
+        logit[np.arange(len(logit)) > (start[1:] - WINDOW)[owner]] = -np.inf  # these windows would pass the text's end
+        best = np.maximum.reduceat(logit, start[:-1])
+        hit = np.flatnonzero(logit == best[owner])
+        return best, hit[np.searchsorted(hit, start[:-1])] - start[:-1]
 
 
 # ---------------------------------------------------------------- training
@@ -246,49 +296,74 @@ def _fit_windows(model: Model, samples: list[list[bytes]], target: np.ndarray, e
         adam.step({"embed": d_embed, "h.w": pooled.T @ d, "h.b": d.sum().reshape(1)} | {f"g.{k}": v for k, v in (grads | more).items()})
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
-    """A model fitted to whole labelled texts."""
+def _sample(items: list, most: int, rng) -> list:
+    return [items[i] for i in rng.permutation(len(items))[:most]]
+
+
+def _learn_words(model: Model, docs: list, toxic: np.ndarray, marked: set, bounds: Bounds, rng) -> None:
+    """The character network learns which words are marked; then again with the unmarked words that look most like them."""
+    clean = Counter(w for d, t in zip(docs, toxic, strict=True) if not t for w in d if w not in marked)
+    plain = sorted(clean, key=zlib.crc32)
+    first = sorted(marked) * max(1, 2000 // len(marked))
+    others = [w for w, _ in clean.most_common(bounds.frequent_words)] + plain[: bounds.plain_words]
+
+    def fit(epochs: int) -> None:
+        _fit_words(model, first + others, np.array([1.0] * len(first) + [0.0] * len(others), F4), epochs, rng)
+
+    fit(8)
+    tried = plain[: bounds.tried_words]
+    for _ in range(2 if tried else 0):
+        scores = model.char_vectors(tried) @ model.char_head["w"]
+        others += [tried[i] for i in np.argsort(-scores, kind="stable")[: bounds.hard_words]]
+        fit(4)
+
+
+def _learn_windows(model: Model, docs: list, toxic: np.ndarray, marked: set, bounds: Bounds, rng) -> None:
+    """The word network learns windows of toxic documents with a marked word (all, where no words are marked) against those of clean
+    ones, then again with the hardest of these, then every document's highest window by the document's label."""
+    bad, good = [], []
+    for words_of, t in zip(docs, toxic, strict=True):
+        if t and marked:
+            starts = [max(0, k - int(rng.integers(WINDOW))) for k, w in enumerate(words_of) if w in marked]
+            bad += [words_of[a : a + WINDOW] for a in starts]
+        elif words_of:
+            (bad if t else good).extend(words_of[a : a + WINDOW] for a in window_starts(len(words_of)))
+    bad, good = _sample(bad, bounds.toxic_windows, rng), _sample(good, bounds.clean_windows, rng)
+
+    def fit(more_bad: list, some: list, epochs: int) -> None:
+        samples = bad + more_bad + some
+        _fit_windows(model, samples, np.array([1.0] * (len(samples) - len(some)) + [0.0] * len(some), F4), epochs, rng)
+
+    some = good[: bounds.first_windows]
+    fit([], some, 3)
+    scores = Scorer(model).best(good)[0]
+    some = some + [good[i] for i in np.argsort(-scores, kind="stable")[: bounds.hard_windows]]
+    fit([], some, 2)
+    for _ in range(2):
+        start = Scorer(model).best(docs)[1]
+        top = [(d[a : a + WINDOW], t) for d, a, t in zip(docs, start, toxic, strict=True) if d]
+        fit([w for w, t in top if t], some + [w for w, t in top if not t], 1)
+
+
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, bounds: Bounds = Bounds()) -> Model:
+    """A model fitted to whole labelled texts; without labels of both kinds there is nothing to learn."""
     model, rng = Model(seed), np.random.default_rng(seed)
     same: dict = {}
     docs = [[same.setdefault(w, w) for w in tokens(t)] for t in texts]  # one object for each distinct word
     del same
     toxic = np.asarray(labels) > 0
     model.prior = float(toxic.mean()) if len(toxic) else 0.0
+    if not any(d for d, t in zip(docs, toxic, strict=True) if t) or not any(d for d, t in zip(docs, toxic, strict=True) if not t):
+        return model
     apart = _apart(docs)
     marked = marked_words([docs[i] for i in apart], toxic[apart], 0.95)
     open_ = [i for i in apart if not (toxic[i] and marked & set(docs[i]))]  # toxic documents that these words don't explain
     marked |= marked_words([docs[i] for i in open_], toxic[open_], 0.7)
-    if not marked:
-        return model
-    # Characters: which words are marked; then again with the unmarked words that look most like them.
-    plain = sorted({w for d, t in zip(docs, toxic, strict=True) if not t for w in d} - marked, key=zlib.crc32)
-    often = [w for w, _ in Counter(w for d, t in zip(docs, toxic, strict=True) if not t for w in d if w not in marked).most_common(1000)]
-    first = sorted(marked) * max(1, 2000 // len(marked))
-    others = often + plain[:5000]
-    _fit_words(model, first + others, np.array([1.0] * len(first) + [0.0] * len(others), F4), 8, rng)
-    for _ in range(2):
-        scores = model.char_vectors(plain[:60_000]) @ model.char_head["w"]
-        hard = [plain[i] for i in np.argsort(-scores, kind="stable")[:2000]]
-        others = others + hard
-        _fit_words(model, first + others, np.array([1.0] * len(first) + [0.0] * len(others), F4), 4, rng)
-    # Windows: those of toxic documents with a marked word, those of other documents; then again with the hardest.
-    bad, good = [], []
-    for words_of, t in zip(docs, toxic, strict=True):
-        if t:
-            for k in (k for k, w in enumerate(words_of) if w in marked):
-                a = max(0, k - int(rng.integers(WINDOW)))
-                bad.append(words_of[a : a + WINDOW])
-        elif words_of:
-            good += [words_of[a : a + WINDOW] for a in window_starts(len(words_of))]
-    bad = [bad[i] for i in rng.permutation(len(bad))[:3000]]
-    good = [good[i] for i in rng.permutation(len(good))[:20_000]]
-    some = good[:5000]
-    _fit_windows(model, bad + some, np.array([1.0] * len(bad) + [0.0] * len(some), F4), 3, rng)
-    scores = Scorer(model).of_windows(good)
-    some = some + [good[i] for i in np.argsort(-scores, kind="stable")[:2000]]
-    _fit_windows(model, bad + some, np.array([1.0] * len(bad) + [0.0] * len(some), F4), 2, rng)
-    # Documents: the scale and offset of the highest window's logit, classes weighted alike.
-    top = Scorer(model)(texts)
+    if marked:
+        _learn_words(model, docs, toxic, marked, bounds, rng)
+    _learn_windows(model, docs, toxic, marked, bounds, rng)
+    # The scale and offset of the highest window's logit, classes weighted alike.
+    top = Scorer(model).best(docs)[0]
     some = np.isfinite(top)
     y, x = toxic[some].astype(float), np.clip(top[some], -12, 12)
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
@@ -301,7 +376,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def probability(model: Model, top: np.ndarray) -> np.ndarray:
-    """Scores from the highest windows' logits; without words (or without a trained network) low and constant."""
+    """Scores from the highest windows' logits; without words as of the lowest logit, without a trained network the share of toxic labels."""
     if not model.head["w"].any():
         return np.full(len(top), min(0.49, model.prior or 0.0))
     return sigmoid(model.scale * np.clip(np.where(np.isfinite(top), top, -12), -12, 12) + model.offset)
@@ -309,20 +384,23 @@ def probability(model: Model, top: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- on Spark
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """text and toxic of at most ``most`` documents of each label, chosen by a hash of doc_id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+    """text and toxic of at most ``bounds.documents`` documents of each label and ``bounds.text_bytes`` altogether, chosen by a hash of
+    doc_id; of rows that repeat an id, the one with the least text. An id with both labels is toxic."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(3))
-    chosen = [known.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(most) for t in (0, 1)]
-    picked = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * most rows of two numbers
-    return docs.select("doc_id", "text").join(picked, "doc_id").filter("text is not null").orderBy(order, "doc_id").limit(4 * most).select("text", "toxic")
+    chosen = [known.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(bounds.documents) for t in (0, 1)]
+    picked = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * documents rows of two numbers
+    rows = docs.select("doc_id", "text").filter("text is not null").join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(order, "doc_id"))  # over those rows alone
+    return rows.withColumn("upto", upto).filter(F.col("upto") <= bounds.text_bytes).select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    rows = labelled_sample(docs, labels, most).collect()
+def fit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Model:
+    rows = labelled_sample(docs, labels, bounds).collect()
     texts, toxic = [r.text.encode() for r in rows], np.array([r.toxic for r in rows])
     del rows
-    model = train(texts, toxic)
+    model = train(texts, toxic, bounds=bounds)
     del texts
     give_back()
     return model
@@ -338,7 +416,7 @@ def score_documents(docs: DataFrame, model: Model, carry: list[str] | None = Non
     and predicted (1 from 0.5 on).
 
     Only the text is read for a score, all of it. Null and empty texts score as the lowest possible window. Repeated rows
-    score alike. If no marked words could be learnt (no labels, or none that differ), all score the smaller of 0.49 and the share of toxic
+    score alike. Without labelled texts of both kinds there is nothing to learn, and all score the smaller of 0.49 and the share of toxic
     labels. An empty table gives an empty result.
     """
     spark = docs.sparkSession

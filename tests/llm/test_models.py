@@ -47,7 +47,76 @@ def test_whole_texts_count(model):
         assert score(clean[:at] + " zorkelthe vilkand zorkelwas " + clean[at:]) > 0.5
 
 
-def test_windows_cover_every_word():
+def test_scores_equal_a_plain_pass_over_all_windows(model):
+    """States word by word from each block's context, every window pooled by itself."""
+    p, h = model.words.p, toxicity.WORD_HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def one_way(inputs, d):
+        state, out = np.zeros(h), []
+        for x in inputs:
+            own, hu = x @ p[f"W{d}"] + p[f"b{d}"], state @ p[f"U{d}"]
+            z, r = sig(own[:h] + hu[:h]), sig(own[h : 2 * h] + hu[h : 2 * h])
+            state = (1 - z) * np.tanh(own[2 * h :] + r * hu[2 * h :]) + z * state
+            out.append(state)
+        return out
+
+    def plain(words):
+        x = model.inputs(words)
+        states = np.zeros((len(words), 2 * h))
+        for a in range(0, len(words), toxicity.SPAN):
+            lo, b = max(0, a - toxicity.CONTEXT), min(len(words), a + toxicity.SPAN)
+            hi = min(len(words), b + toxicity.CONTEXT)
+            states[a:b, :h] = one_way(x[lo:b], "f")[a - lo :]
+            states[a:b, h:] = one_way(x[a:hi][::-1], "b")[::-1][: b - a]
+        logits = []
+        for a in range(max(1, len(words) - toxicity.WINDOW + 1)):
+            own = states[a : a + toxicity.WINDOW]
+            w = np.exp(np.tanh(own @ p["A"]) @ p["a"])
+            logits.append((w / w.sum()) @ own @ model.head["w"] + model.head["b"][0])
+        return max(logits), int(np.argmax(logits))
+
+    texts = [toxicity.tokens(" ".join(t for t, _ in made_texts(n, n)).encode())[:m] for n, m in ((1, 1), (1, 20), (2, 32), (2, 33), (9, 700), (6, 321))]
+    top, first = toxicity.Scorer(model).best([*texts, []])
+    assert top[-1] == -np.inf
+    for words, t, a in zip(texts, top, first, strict=False):
+        want, at = plain(words)
+        assert abs(want - t) < 1e-3 and (a == at or len(words) > 100)
+
+
+def test_labels_alone_train_the_network():
+    """Documents whose toxic words are too rare to be marked are told apart by their labels."""
+    rows = [(f"{WORDS[i % 40]} {'bad' if i % 2 else 'good'} {WORDS[i % 7]}", i % 2) for i in range(8)] * 1
+    model = toxicity.train([t.encode() for t, _ in rows], np.array([y for _, y in rows]))
+    assert model.head["w"].any()
+    one = toxicity.train([t.encode() for t, y in rows if y], np.ones(4))
+    assert not one.head["w"].any()
+
+
+def test_repeated_labelled_rows(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c" * 100), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.labelled_sample(docs, labels).collect())) == [("a", 1), ("c" * 100, 0)]
+    assert toxicity.labelled_sample(docs, labels, toxicity.Bounds(text_bytes=50)).count() <= 1
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_driver_labels(spark, sf):
+    """Held-out labels of the driver's tables."""
+    import os
+
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables aren't here")
+    from quern.llm import queries
+
+    scored = {r.doc_id: r for r in queries.op3_toxicity(spark, folder).collect()}
+    labels = [(r.toxic, scored[r.doc_id]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.doc_id in scored]
+    held = [(t, r.predicted) for t, r in labels if r.held_out]
+    assert sum(p for t, p in held if t) >= 0.8 * sum(t for t, _ in held) and sum(p for t, p in held if not t) <= 0.05 * len(held)
+
+
+def test_training_windows_cover_every_word():
     for n in range(1, 300):
         starts = toxicity.window_starts(n)
         assert {i for s in starts for i in range(s, min(n, s + toxicity.WINDOW))} == set(range(n))
@@ -80,7 +149,7 @@ def test_held_out_rows_teach_nothing(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").filter(~toxicity.held_out())
     used = {r.text for r in toxicity.labelled_sample(docs, labels).collect()}
     assert used == {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5}
-    assert toxicity.labelled_sample(docs, labels, most=10).count() == 20
+    assert toxicity.labelled_sample(docs, labels, toxicity.Bounds(documents=10)).count() == 20
 
 
 def numeric(f, x, k, eps=1e-3):
