@@ -7,7 +7,7 @@ surrounds it.
 
 Nothing labels blocks, so training makes its own: pages drawn from templates whose parts are known (articles in various
 containers amid menus, headers, notices, adverts, forms, sidebars, comments, footers), filled with words of the table's own pages,
-and at most ``most_pages`` real pages chosen by a hash of their id, whose blocks are labelled where their containers' names
+and at most ``most_pages`` real pages of ``most_bytes`` altogether, chosen by a hash, whose blocks are labelled where their containers' names
 leave no doubt. Those that do leave doubt have no part in the loss.
 """
 
@@ -16,10 +16,11 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .recurrent import F4, Adam, BiLSTM, sigmoid
@@ -37,15 +38,80 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SINGLE = frozenset("p li dd dt tr td th h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile("[\x20\x09-\x0d]+")
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile(r">|=[\x20\x09-\x0d]*([\"'])")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
+class Tags:
+    """The tags of a page, found one after another in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """Where a tag ends whose attributes begin at ``at``: behind the first > outside quoted values. A quote that is never closed is
+        an ordinary character, so it hides nothing; without any > the tag ends with the page."""
+        while stop := _STOP.search(self.page, at):
+            quote = stop[1]
+            if quote is None:
+                return stop.end()
+            at = self.page.find(quote, stop.end()) + 1 if stop.end() <= self.last[quote] else stop.end()
+        return len(self.page)
+
+    def _past(self, mark: str, at: int) -> int:
+        found = self.page.find(mark, at)
+        return len(self.page) if found < 0 else found + len(mark)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether an end tag, name, attributes) of the next tag; comments and the like have no name."""
+        tag = _OPEN.search(self.page, at)
+        if tag is None:
+            return None
+        if tag[1] or tag[2] or tag[3]:
+            return tag.start(), self._past("-->" if tag[1] else "]]>" if tag[2] else ">", tag.end()), False, "", ""
+        end = self.end(tag.end())
+        return tag.start(), end, bool(tag[4]), tag[5].lower(), self.page[tag.end() : end]
+
+
+class Path:
+    """The open elements, by what is known of each: its name, then words of its class, id and role."""
+
+    def __init__(self):
+        self.elements: list[str] = []
+        self.open: Counter = Counter()
+        self._kept: tuple | None = None
+
+    def names(self) -> str:
+        return self.elements[-1].split(" ", 1)[0] if self.elements else ""
+
+    def push(self, element: str) -> None:
+        self.elements.append(element)
+        self.open[element.split(" ", 1)[0]] += 1
+        self._kept = None
+
+    def pop(self) -> str:
+        name = self.elements.pop().split(" ", 1)[0]
+        self.open[name] -= 1
+        self._kept = None
+        return name
+
+    def close(self, name: str) -> None:
+        """Closes the innermost element of this name with all in it; nothing, if none is open."""
+        while self.open[name] and self.pop() != name:
+            pass
+
+    def now(self) -> tuple:
+        if self._kept is None:
+            self._kept = tuple(self.elements)
+        return self._kept
+
+
 def blocks(page: str) -> list[tuple[tuple, str, int]]:
     """(path, text, characters of it in links) of each block that has text, in page order."""
     out: list[tuple[tuple, str, int]] = []
-    path: list[str] = []
+    path, tags = Path(), Tags(page)
     held: list[str] = []
     spot: list[tuple] = []  # the path of the text in held, once there is any but white space
     state = [0, 0]  # open links, link characters
@@ -55,7 +121,7 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if held:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip(" ")
             if text:
-                out.append((spot[0] if spot else tuple(path), text, state[1]))
+                out.append((spot[0] if spot else path.now(), text, state[1]))
             held.clear()
             spot.clear()
         state[1] = 0
@@ -63,8 +129,8 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
     def say(text: str) -> None:
         if text:
             if not text.isspace():
-                here = tuple(path)
-                if spot and spot[0] != here:
+                here = path.now()
+                if spot and spot[0] is not here and spot[0] != here:
                     flush()
                 if not spot:
                     spot.append(here)
@@ -73,44 +139,40 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
                 state[1] += len(text)
 
     at = 0
-    while tag := _TAG.search(page, at):
-        say(page[at : tag.start()])
-        at = tag.end()
-        name = tag[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if tag[1]:
+    while tag := tags.next(at):
+        start, end, closing, name, attributes = tag
+        say(page[at:start])
+        at = end
+        alone = attributes.endswith("/>")
+        if closing:
             if name == "a":
                 state[0] = 0
-            elif name in BLOCKS or name in PARTS:
-                if name in BLOCKS:
-                    flush()
-                else:
-                    held.append(" ")
-                here = next((k for k in range(len(path) - 1, -1, -1) if path[k].split(" ", 1)[0] == name), None)
-                if here is not None:
-                    del path[here:]
+            elif name in BLOCKS:
+                flush()
+                path.close(name)
+            elif name in PARTS:
+                held.append(" ")
+                path.close(name)
         elif name in RAW:
-            if not tag[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not alone:
+                close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = close.end() if close else len(page)
             held.append(" ")
         elif name in PARTS:
             held.append(" ")
             if ends.get(name, -1) < at:
-                end = re.compile(rf"</{name}\b", re.I).search(page, at)
-                ends[name] = end.start() if end else len(page) + 1
-            if ends[name] <= len(page) and not tag[0].endswith("/>"):  # without an end tag, only the tag itself is ignored
-                path.append(name)
+                close = re.compile(rf"</{name}\b", re.I).search(page, at)
+                ends[name] = close.start() if close else len(page) + 1
+            if ends[name] <= len(page) and not alone:  # without an end tag, only the tag itself is ignored
+                path.push(name)
         elif name in BLOCKS:
             flush()
-            top = path[-1].split(" ", 1)[0] if path else ""
+            top = path.names()
             if top == "p" or (top == name and name in SINGLE) or (top == "head" and name == "body"):
                 path.pop()
             if name not in VOID:
-                words = " ".join(w for m in _NAMES.finditer(tag[3]) for w in _PART.findall(m[1].lower()))
-                path.append(f"{name} {words}".strip())
+                words = " ".join(w for m in _NAMES.finditer(attributes) for w in _PART.findall(m[1].lower()))
+                path.push(f"{name} {words}".strip())
         elif name == "br":
             held.append(" ")
         elif name == "a":
@@ -292,11 +354,11 @@ def doubtless(page: list[tuple]) -> np.ndarray:
     return out
 
 
-def train(pages: list[str], seed: int = 11, made: int = 1500, epochs: int = 7, hidden: int = 16) -> BiLSTM:
-    """A labeller fitted to ``made`` template pages and the given real ones."""
+def train(pages: list[str], seed: int = 11, made: int = 1500, epochs: int = 7, hidden: int = 16, most_words: int = 5000) -> BiLSTM:
+    """A labeller fitted to ``made`` template pages, filled with the first ``most_words`` distinct words of the given real ones, and to these."""
     rng = np.random.default_rng(seed)
     real = [blocks(p) for p in pages]
-    lexicon = list(dict.fromkeys(w for p in real for _, t, _ in p for w in t.lower().split()))[:5000] or ["a", "of", "text", "page", "words", "here"]
+    lexicon = list(dict.fromkeys(w for p in real for _, t, _ in p for w in t.lower().split()))[:most_words] or ["a", "of", "text", "page", "words", "here"]
     data = [made_page(rng, lexicon) for _ in range(made)] + [(p, doubtless(p)) for p in real if p]
     data = [(p[k : k + 200], y[k : k + 200]) for p, y in data for k in range(0, len(p), 200)]
     vectors = Vectors()
@@ -345,13 +407,23 @@ def label(model: BiLSTM, vectors: Vectors, pages: list[list]) -> list[np.ndarray
 
 # ---------------------------------------------------------------- on Spark
 
-#: Real pages that training takes at most.
-MOST_PAGES = 200
+#: Real pages that training takes at most, and bytes of all of them.
+MOST_PAGES, MOST_BYTES = 200, 32 << 20
+
+
+def sample_pages(pages: DataFrame, most_pages: int = MOST_PAGES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """html of at most ``most_pages`` different pages of ``most_bytes`` altogether, chosen by a hash. Hashes and sizes are
+    compared first, and only the pages chosen travel."""
+    key = F.xxhash64("page_id", "html").alias("key")
+    sizes = pages.filter("html is not null").select(key, F.octet_length("html").alias("n")).groupBy("key").agg(F.max("n").alias("n"))
+    some = sizes.orderBy("key").limit(most_pages)
+    chosen = some.withColumn("upto", F.sum("n").over(Window.orderBy("key"))).filter(F.col("upto") <= most_bytes)  # over those rows alone
+    return pages.filter("html is not null").select(key, "html").join(F.broadcast(chosen.select("key")), "key").groupBy("key").agg(F.min("html").alias("html"))
 
 
-def fit(pages: DataFrame, most_pages: int = MOST_PAGES) -> BiLSTM:
-    rows = pages.select("page_id", "html").filter("html is not null").orderBy(F.xxhash64("page_id", F.lit(5)), "page_id").limit(most_pages).collect()
-    return train([r.html for r in rows])
+def fit(pages: DataFrame, most_pages: int = MOST_PAGES, most_bytes: int = MOST_BYTES) -> BiLSTM:
+    rows = sample_pages(pages, most_pages, most_bytes).collect()
+    return train([r.html for r in sorted(rows, key=lambda r: r.key)])
 
 
 def extract(pages: DataFrame, model: BiLSTM, carry: list[str] | None = None) -> DataFrame:
@@ -360,7 +432,7 @@ def extract(pages: DataFrame, model: BiLSTM, carry: list[str] | None = None) ->
 
     Character references are decoded, white space in a block becomes one space, <br> counts as white space. Null and empty
     pages, and pages without main blocks, have an empty text. Scripts, styles, form text areas and comments are dropped, unclosed
-    ones with all that follows, and an unclosed tag ends with the page; all other text is labelled. Pages
+    ones with all that follows, and a tag without > ends with the page; quotes that are never closed hide nothing. All other text is labelled. Pages
     of any length are labelled whole. Repeated rows give equal texts; an empty table gives an empty result.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)  # fixed size

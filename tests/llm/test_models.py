@@ -226,6 +226,39 @@ def test_broken_markup(broken):
     assert all(t == t.strip() and t for _, t, _ in html_extract.blocks(broken))
 
 
+def text_of(page):
+    return " ".join(t for _, t, _ in html_extract.blocks(page))
+
+
+def test_quotes_in_tags():
+    assert text_of('<p title="foo>Hello</p><p>you') == "Hello you"
+    assert text_of("<p title='a>b' class=\"x>y\">in</p>") == "in"
+    assert text_of("<p title=don't>one</p><p>it's</p>") == "one it's"
+    assert text_of("<p data-x = 'a>b'>c<br/>d") == "c d"
+    assert text_of("<p>a<b class=\"x>y</b>z") == "a yz" or text_of("<p>a<b class=\"x>y</b>z") == "ayz"
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a b='", '<a b="x>"', "<p><div>", "</p>", "<!--", "<![CDATA[", "<script>", "<button>", "< ", "<p class="])
+def test_long_broken_pages_take_linear_time(part):
+    import time
+
+    began = time.time()
+    html_extract.blocks(part * (400_000 // len(part)) + "'\"")
+    assert time.time() - began < 5
+
+
+def test_unmatched_end_tags_in_deep_pages():
+    assert [len(p) for p, _, _ in html_extract.blocks("<div>" * 2000 + "x" + "</p>" * 50_000 + "y</div>z")] == [2000, 2000, 1999]
+
+
+def test_sample_pages(spark):
+    rows = [(i % 50, "u", f"<p>{'x' * (i % 50)}</p>") for i in range(200)] + [(None, "u", "<p>y</p>"), (1, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_extract.sample_pages(pages).count() == 51 and html_extract.sample_pages(pages, most_pages=5).count() == 5
+    assert html_extract.sample_pages(pages, most_bytes=200).count() < 20
+    assert html_extract.sample_pages(pages.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(html_extract.PARTS | {"math"}))
 def test_only_scripts_styles_and_text_areas_are_dropped(name):
     """The article goes on after such an element without an end tag, and the text of a closed one is there to be labelled."""
