@@ -2,14 +2,14 @@
 
 Words are runs of ASCII letters and digits and of anything beyond ASCII, lower-cased (A-Z). A phrase is a window of
 ``length`` consecutive words of a benchmark item (the whole item, if shorter). Every task builds, shard by shard, the
-FM-index of its documents: the suffix array gives the Burrows-Wheeler transform, a wavelet matrix over that answers
-ranks, and the suffix array is kept only at sampled places. All phrases are searched backwards together, one wavelet
-descent for each of their words; occurrences are located by walking to a sampled place, and the spans of a document
-are merged.
-
-Phrases go out in broadcast blocks of at most ``block_words`` words, one after another, so neither a task nor
-the driver ever holds more of the benchmark than a block. Within a block only its own vocabulary needs symbols; every
-other word of the text is one more symbol. Training text is never shuffled.
+FM-index of its documents over the shard's own vocabulary: the suffix array gives the Burrows-Wheeler transform, a wavelet
+matrix over that answers ranks, and the suffix array is kept only at sampled places. Phrases with a word that the shard lacks are
+out at once; all others are searched backwards together, one wavelet descent for each of their words; occurrences are located by
+walking to a sampled place, and the spans of a document are merged.
+
+The size of the phrases is measured first. Up to ``block_words`` words they are broadcast; a larger benchmark is dealt by a hash of
+its items into blocks of about that size, and the documents pass once for each, with what was found so far written between passes, so
+neither a task nor the driver ever holds more of the benchmark than a block. Training text is never shuffled.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER_ALNUM, Words, give_back, rows_of
+from .shared import LOWER_ALNUM, Words, give_back, rows_of, settle
 
 #: Words of an index; a longer document has one of its own. Sampled places lie this many words apart.
 SHARD_WORDS, SAMPLE = 1 << 18, 16
-#: Words of all phrases of a broadcast block, so at most 8 bytes times as much.
+#: Words of all phrases of a broadcast block: 8 bytes each.
 BLOCK_WORDS = 4 << 20
 
 
@@ -150,16 +151,30 @@ class FMIndex:
         return out
 
 
+class Shard:
+    """The FM-index of some documents, over the words that occur in them."""
+
+    def __init__(self, words: Words):
+        self.vocabulary, symbols = np.unique(words.hashes, return_inverse=True)
+        self.index = FMIndex(symbols + 1, words.at, len(self.vocabulary))
+
+    def symbols_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The symbol of each word, -1 for words that don't occur here."""
+        if not len(self.vocabulary):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at + 1, -1)
+
+
 class Phrases:
-    """A block of benchmark phrases: their vocabulary, distinct windows as symbols, and the items that have each."""
+    """Benchmark phrases: their vocabulary, distinct windows as places in it (from 1; 0 fills short ones), and the items that have each."""
 
     def __init__(self, items: list[tuple], length: int):
         words = Words([t for _, t in items], LOWER_ALNUM)
         self.ids = [i for i, _ in items]
-        self.vocabulary = np.unique(words.hashes)
-        symbols = np.searchsorted(self.vocabulary, words.hashes) + 2  # 0: an end, 1: any other word
-        wide = np.concatenate([np.zeros(length, np.int64), symbols])
-        rows, size, item = [], [], []
+        self.vocabulary, symbols = np.unique(words.hashes, return_inverse=True)
+        wide = np.concatenate([np.zeros(length, np.int64), symbols + 1])
+        rows, item = [], []
         for k, (a, b) in enumerate(zip(words.at, words.at[1:], strict=False)):
             if b > a:
                 m = min(length, int(b - a))
@@ -167,7 +182,6 @@ class Phrases:
                 grid = wide[starts[:, None] + np.arange(m - length, m)[None, :] + length]
                 grid[:, : length - m] = 0
                 rows.append(grid)
-                size.append(np.full(len(starts), m))
                 item.append(np.full(len(starts), k))
         grid = np.concatenate(rows) if rows else np.zeros((0, length), np.int64)
         self.symbols, which = np.unique(grid, axis=0, return_inverse=True)
@@ -175,36 +189,28 @@ class Phrases:
         pairs = np.unique(np.stack([which.ravel(), np.concatenate(item)]) if rows else np.zeros((2, 0), np.int64), axis=1)
         self.item_at, self.items = np.searchsorted(pairs[0], np.arange(len(self.symbols) + 1)), pairs[1]
 
-    def encode(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.ones(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 2, 1)
-
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def hits(self, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each occurrence in a shard: document, first word in it, number of words, phrase."""
-        index = FMIndex(self.encode(words.hashes), words.at, len(self.vocabulary) + 1)
-        lo, hi = index.search(self.symbols, self.lengths)
-        found = np.flatnonzero(hi > lo)
-        n = (hi - lo)[found]
-        phrase = np.repeat(found, n)
-        rows = np.repeat(lo[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = index.locate(rows)
-        doc = np.searchsorted(index.starts, place, side="right") - 1
-        return doc, place - index.starts[doc], self.lengths[phrase], phrase
+        local = np.concatenate([[0], shard.symbols_of(self.vocabulary)])[self.symbols]
+        here = np.flatnonzero((local >= 0).all(1))
+        lo, hi = shard.index.search(local[here], self.lengths[here])
+        some = np.flatnonzero(hi > lo)
+        n = (hi - lo)[some]
+        phrase = np.repeat(here[some], n)
+        rows = np.repeat(lo[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = shard.index.locate(rows)
+        doc = np.searchsorted(shard.index.starts, place, side="right") - 1
+        return doc, place - shard.index.starts[doc], self.lengths[phrase], phrase
 
 
 def phrase_blocks(benchmark: DataFrame, length: int, block_words: int):
-    """The benchmark's items as blocks of ``Phrases``, read to the driver a block at a time."""
-    items, size = [], 0
-    for row in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
-        items.append((row.item_id, row.text.encode()))
-        size += (len(items[-1][1]) // 2 + 1) * length
-        if size >= block_words:
-            yield Phrases(items, length)
-            items, size = [], 0
-    if items:
-        yield Phrases(items, length)
+    """The benchmark's items as blocks of ``Phrases`` of about ``block_words`` words, read to the driver one at a time."""
+    items = benchmark.filter("text is not null").select("item_id", "text")
+    size = F.coalesce(F.sum((F.octet_length("text") / 2 + 1).cast("long") * length), F.lit(0))
+    n = max(1, -(-items.agg(size).first()[0] // block_words))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for k in range(n):
+        yield Phrases([(r.item_id, r.text.encode()) for r in items.filter(block == k).toLocalIterator()], length)
 
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -234,24 +240,61 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10,
     Words are compared by 64-bit hashes. Extra columns pass through.
     """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(p) for p in phrase_blocks(benchmark, length, block_words)]
     made = [c.split()[0] for c in SPANS.split(", ")]
     kept = docs.select(*(c for c in (docs.columns if carry is None else carry) if c not in made))
-    read = kept if "text" in kept.columns else docs.select(*kept.columns, "text")
-
-    def shard(rows: pa.Table, words: Words) -> list[pa.RecordBatch]:
+    rows, found = docs.select(*kept.columns, docs["text"].alias(_TEXT)), None
+    for phrases in phrase_blocks(benchmark, length, block_words):
+        if found is not None:
+            rows = settle(found).withColumnsRenamed({"items": _ITEMS, "spans": _SEEN}).drop(*made)
+        block = spark.sparkContext.broadcast(phrases)  # about 8 * block_words bytes
+        found = rows.mapInArrow(_searcher(block, kept.columns, _SEEN in rows.columns), ", ".join(f"`{c.replace('`', '``')}` {k}" for c, k in (*kept.dtypes, (_TEXT, "string"))) + ", " + SPANS)
+    names = [c for c in kept.columns if not (cut and c == "text")]
+    out = found.select(*names, *([F.col(_TEXT).alias("text")] if cut and "text" in kept.columns else []), *made)
+    if cut:
+        out = out.mapInArrow(_cut, out.schema)
+    return out.select(*kept.columns, *made)
+
+
+_TEXT, _ITEMS, _SEEN = "__quern_text", "__quern_items", "__quern_spans"
+
+
+def _shards(batches):
+    """Tables of about SHARD_WORDS words each, in the order of the rows."""
+    held, size = [], 0
+    for batch in batches:
+        first = 0
+        for i, n in enumerate(pc.binary_length(batch.column(_TEXT)).to_pylist()):
+            size += (n or 0) // 5 + 1
+            if size >= SHARD_WORDS:
+                held.append(batch.slice(first, i + 1 - first))
+                yield pa.Table.from_batches(held)
+                held, size, first = [], 0, i + 1
+        if first < batch.num_rows:
+            held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _searcher(block, kept: list[str], again: bool):
+    """A pass over the documents with one block of phrases; ``again``: rows bring the items and spans of passes before."""
+
+    def search(rows: pa.Table) -> pa.Table:
+        words = Words(rows_of(rows, _TEXT), LOWER_ALNUM)
         n = rows.num_rows
-        items: list[set] = [set() for _ in range(n)]
+        items: list[set] = [set(x or ()) for x in rows.column(_ITEMS).to_pylist()] if again else [set() for _ in range(n)]
         change = np.zeros(len(words.hashes) + n + 1, np.int64)  # a gap after each document
         at = words.at[:-1] + np.arange(n)
-        for block in blocks:
-            p = block.value
-            doc, start, size, phrase = p.hits(words)
-            np.add.at(change, at[doc] + start, 1)
-            np.add.at(change, at[doc] + start + size, -1)
-            pairs = np.unique(np.stack([doc, phrase]), axis=1)
-            for d, f in pairs.T.tolist():
-                items[d].update("" if p.ids[i] is None else str(p.ids[i]) for i in p.items[p.item_at[f] : p.item_at[f + 1]])
+        for d, own in enumerate(rows.column(_SEEN).to_pylist() if again else ()):
+            for s in own or ():
+                change[at[d] + s["start"]] += 1
+                change[at[d] + s["end"]] -= 1
+        p = block.value
+        doc, start, size, phrase = p.hits(Shard(words))
+        np.add.at(change, at[doc] + start, 1)
+        np.add.at(change, at[doc] + start + size, -1)
+        pairs = np.unique(np.stack([doc, phrase]), axis=1)
+        for d, f in pairs.T.tolist():
+            items[d].update("" if p.ids[i] is None else str(p.ids[i]) for i in p.items[p.item_at[f] : p.item_at[f + 1]])
         hit = np.cumsum(change)[:-1] > 0
         edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -261,43 +304,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10,
             spans[d].append({"start": s, "end": e})
         n_hit = [sum(s["end"] - s["start"] for s in x) for x in spans]
         names = [sorted(x) for x in items]
-        out = rows
-        if cut:
-            texts = rows_of(rows, "text")
-            texts = [without(t, own) if own else t for t, own in zip(texts, spans, strict=True)]
-            out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
+        out = rows.select([*kept, _TEXT])
         for name, column in (
             ("n_words", pa.array(np.diff(words.at), pa.int64())), ("n_hit", pa.array(n_hit, pa.int64())), ("n_items", pa.array([len(x) for x in names], pa.int64())),
             ("items_sha256", pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string())), ("contaminated", pa.array([x > 0 for x in n_hit], pa.bool_())),
             ("items", pa.array(names, pa.list_(pa.string()))), ("spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))),
         ):
             out = out.append_column(name, column)
-        return out.combine_chunks().to_batches()
-
-    kept_names = kept.columns
+        return out
 
     def run(batches):
-        held, texts, size = [], [], 0
-        for batch in batches:
-            data = rows_of(batch, "text")
-            first = 0
-            for i, t in enumerate(data):
-                size += len(t or b"") // 5 + 1
-                if size >= SHARD_WORDS or i == len(data) - 1:
-                    held.append(batch.slice(first, i + 1 - first).select(kept_names))
-                    texts += data[first : i + 1]
-                    first = i + 1
-                    if size >= SHARD_WORDS:
-                        yield from shard(pa.Table.from_batches(held), Words(texts, LOWER_ALNUM))
-                        held, texts, size = [], [], 0
-        if held:
-            yield from shard(pa.Table.from_batches(held), Words(texts, LOWER_ALNUM))
-        held.clear()
-        texts.clear()
+        for rows in _shards(batches):
+            yield from search(rows).combine_chunks().to_batches()
         give_back()
 
-    schema = ", ".join([*(f"`{c.replace('`', '``')}` {k}" for c, k in kept.dtypes), SPANS])
-    return read.mapInArrow(run, schema)
+    return run
+
+
+def _cut(batches):
+    """Takes the spans out of the texts."""
+    for batch in batches:
+        texts = [without(t, own) if own else t for t, own in zip(rows_of(batch, "text"), batch.column("spans").to_pylist(), strict=True)]
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(batch.schema.field("text").type))
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:

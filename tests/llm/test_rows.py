@@ -194,7 +194,9 @@ def test_remove_contamination(spark):
     got = decontam.remove_contamination(spark.createDataFrame(rows, "doc_id int, text string, n_chars long"), spark.createDataFrame([(1, passage)], "item_id int, text string"))
     assert sorted(map(tuple, got.collect())) == [(1, "Before it. . After it.", 22), (3, "Clean  text,\nleft as it is.", 27), (4, None, None), (5, "  ", 2)]
     empty = spark.createDataFrame([], "item_id int, text string")
-    assert decontam.remove_contamination(spark.createDataFrame(rows, "doc_id int, text string, n_chars long"), empty).count() == 5
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars long")
+    assert decontam.remove_contamination(docs, empty).count() == 5 and decontam.remove_contamination(docs.limit(0), empty).count() == 0
+    assert decontam.find_contamination(docs.limit(0), spark.createDataFrame([(1, passage)], "item_id int, text string")).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
