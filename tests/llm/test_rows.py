@@ -217,7 +217,7 @@ def test_fm_index(docs, patterns):
 
 # ---------------------------------------------------------------- 5
 
-@pytest.mark.parametrize(("shard", "block"), [(16_384, 1024), (40, 7)])
+@pytest.mark.parametrize(("shard", "block"), [(4_096, 1024), (20, 7)])
 def test_top_k(spark, shard, block, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", shard)
     monkeypatch.setattr(topk, "BLOCK", block)
@@ -235,6 +235,22 @@ def test_top_k(spark, shard, block, monkeypatch):
     assert got == sorted(want)
 
 
+def test_top_k_of_clusters_repeats_and_ragged_vectors(spark, monkeypatch):
+    """Clustered vectors, a vector that a third of the rows repeat, repeated rows, lengths that differ."""
+    monkeypatch.setattr(topk, "SHARD", 25)
+    monkeypatch.setattr(topk, "LEAF", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in 5 * np.eye(4)[i % 4] + np.round(rng.normal(size=4), 1)]) for i in range(200)]
+    rows += [(200 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(100)] + [(400, [9.0]), (401, []), (402, [0.5, 0.5]), (7, rows[7][1]), (40, rows[40][1])]
+    got = Counter(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 20 == 0, k=7).collect()))
+    wide = [(i, np.floor(64 * np.array([*v, 0, 0, 0, 0][:4]))) for i, v in rows]
+    want: Counter = Counter()
+    for i, q in {(i, tuple(v)) for i, v in wide if i % 20 == 0}:
+        best = sorted((-int(np.array(q) @ v), j) for j, v in wide if j != i)[:7]
+        want.update((i, r + 1, j, -s) for r, (s, j) in enumerate(best))
+    assert got == want
+
+
 def test_top_k_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert topk.top_k(few, F.col("vec_id") % 20 == 0).collect() == [(0, 1, 1, 64 * 128)]
