@@ -216,5 +216,12 @@ def family(content) -> Column:
 
 
 def embedded_offset(content, code: int = 50) -> Column:
-    """Where a family's mark first stands in a file (0-based), -1 if nowhere: self-extracting files have code before it."""
-    return F.locate(SIGNATURES[code], F.hex(col(content))).cast("long")
+    """The byte (from 0) at which a family's mark first stands in a file, -1 if nowhere: self-extracting files have code before it."""
+    return (F.locate(bytes.fromhex(SIGNATURES[code]).decode("latin-1"), F.decode(col(content), "ISO-8859-1")) - 1).cast("long")
+
+
+def detect(content) -> Column:
+    """(family, at): the family whose mark stands first in a file, and where; (0, -1) for none."""
+    found = F.array(*(F.struct(embedded_offset(content, code).alias("at"), F.lit(code).alias("family")) for code in SIGNATURES))
+    first = F.array_min(F.filter(found, lambda x: x["at"] >= 0))
+    return F.struct(F.coalesce(first["family"], F.lit(0)).alias("family"), F.coalesce(first["at"], F.lit(-1).cast("long")).alias("at"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,40 @@ def tool_class(code: Column) -> Column:
     return F.when(code == 0, "valid").when(code == 1, "damaged").when(code == 69, "unverifiable").otherwise("tool-error")
 
 
+def tool_verdict(code: Column, output: Column) -> Column:
+    """As ``tool_class``, if the output has exactly one line with a verdict; a tool that says nothing, or twice, has failed."""
+    lines = F.size(F.filter(F.split(output, "\\r?\\n"), lambda x: x.startswith("Validation:")))
+    return F.when(lines == 1, tool_class(code)).otherwise("tool-error")
+
+
+def reference_class(code: Column, diagnostics: Column) -> Column:
+    """What another reader's exit code and messages say of an archive. Codes: 0 no error, 1 a warning, 3 a checksum differs, 13 the file
+    can't be read."""
+    lines = F.split(diagnostics, "\\r?\\n")
+    says = lambda text: F.coalesce(F.array_contains(lines, text), F.lit(False))
+    ends, comment = says("Unexpected end of archive"), says("The archive comment is corrupt")  # fixed values: messages of that reader
+    bad = F.coalesce(F.exists(lines, lambda x: x.rlike("^ERROR: Bad archive .")), F.lit(False))
+    damaged = ((code == 0) & comment) | (code == 3) | ((code == 1) & ends) | ((code == 13) & bad)
+    return F.when(damaged, "damaged").when((code == 0) & ~ends, "valid").otherwise("tool-error")
+
+
+def mutation_pair(reference: Column, tool: Column) -> Column:
+    """Verdicts on one mutant by a reference and by a tool that are both meant to be strict."""
+    both = reference.isin("valid", "damaged") & tool.isin("valid", "damaged")
+    good = F.when(tool == "valid", "benign").otherwise("stricter")
+    return F.when(~both, "inconclusive").when(reference == "valid", good).when(tool == "valid", "missed").otherwise("detected")
+
+
+def until_target(trials: DataFrame, *by: str, order: str, target: int = 385) -> DataFrame:
+    """The trials that a campaign runs: in each cell, in their order, up to the one that brings the eligible ones (detected, missed or
+    unverifiable) to ``target``, and at most four times as many."""
+    w = Window.partitionBy(*by).orderBy(order)
+    eligible = F.when(F.col("outcome").isin("detected", "missed", "unverifiable"), 1).otherwise(0)
+    before = F.sum(eligible).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = trials.withColumns({"_before": F.coalesce(before, F.lit(0)), "_at": F.row_number().over(w)})
+    return rows.filter((F.col("_before") < target) & (F.col("_at") <= 4 * target)).drop("_before", "_at")
+
+
 def execution_class(code: Column) -> Column:
     """How a process ended that didn't end by itself; null otherwise."""
     return F.when(code == 124, "timeout").when(code == 137, "killed").when(code.between(134, 139), "crash").when(code.between(125, 127), "launch")

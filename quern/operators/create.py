@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,9 +89,8 @@ def block_size(data: Column, name: str = "name") -> Column:
 
 
 def _joined(rows: DataFrame, keys: list[str], order: str, before: Column, after: Column) -> DataFrame:
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, "block"))), lambda x: x["block"])
-    grouped = rows.groupBy(*keys).agg(parts.alias("parts"))
-    return grouped.withColumn("content", F.concat(before, F.aggregate("parts", empty(), lambda a, b: F.concat(a, b)), after)).drop("parts")
+    grouped = rows.groupBy(*keys).agg(F.expr(f"listagg(block) within group (order by {order})").alias("parts"))
+    return grouped.withColumn("content", F.concat(before, F.coalesce("parts", empty()), after)).drop("parts")
 
 
 def archives(entries: DataFrame) -> DataFrame:
@@ -115,10 +115,67 @@ def pieces(entries: DataFrame, volume_bytes: int) -> DataFrame:
     return rows.withColumn("split_before", start > F.col("from")).withColumn("split_after", end < F.col("upto"))
 
 
-def volumes(entries: DataFrame, volume_bytes: int) -> DataFrame:
+def _vint_len(n: int) -> int:
+    return max(1, -(-n.bit_length() // 7))
+
+
+def fill(sizes: list[tuple], volume_bytes: int) -> list[tuple]:
+    """(place, volume, from, to) of the pieces of entries given as (payload bytes, bytes of a header's fields, bytes of a digest
+    record): each volume is filled up to ``volume_bytes``, its mark and headers counted. What doesn't fit an empty volume raises ValueError."""
+    fixed = lambda v: 8 + 8 + (_vint_len(v) if v else 0) + 8  # noqa: E731  mark, main block, end block
+
+    def block(n: int, d: int, own: int) -> int:
+        header = own + _vint_len(n) + (_vint_len(d) if d else 0)
+        return 4 + _vint_len(header) + header + d
+
+    out, volume, used = [], 0, fixed(0)
+    for place, (n, own) in enumerate(sizes):
+        start = 0
+        while True:
+            room = volume_bytes - used
+            d = min(n - start, max(0, room - block(n, 0, own)))
+            while d > 0 and block(n, d, own) > room:  # the size of the size
+                d -= 1
+            if block(n, d, own) <= room and (d > 0 or n == start):
+                out.append((place, volume, start, start + d))
+                used += block(n, d, own)
+                start += d
+                if start == n:
+                    break
+            elif used == fixed(volume):
+                raise ValueError(f"a header doesn't fit a volume of {volume_bytes} bytes")
+            volume += 1
+            used = fixed(volume)
+    return out
+
+
+def pieces_by_file(entries: DataFrame, volume_bytes: int) -> DataFrame:
+    """As ``pieces``, but cut so that each volume's file has at most ``volume_bytes``. The layout is found from sizes alone, one bounded
+    archive at a time; payloads are cut by expressions."""
+    named = F.octet_length(F.encode("name", "UTF-8"))
+    extra = F.when(F.col("is_encrypted"), len(ENCRYPTED_EXTRA)).otherwise(0)
+    if "has_blake" in entries.columns:
+        extra = extra + F.when(F.col("has_blake"), len(BLAKE_EXTRA) + 32).otherwise(0)
+    own = 1 + 1 + F.when(extra > 0, 1).otherwise(0) + 1 + 1 + 4 + F.when(F.col("has_crc"), 4).otherwise(0) + 1 + 1 + vint_size(named) + named + extra
+    slim = entries.select("archive_id", "entry", F.octet_length("payload").alias("n"), own.alias("own"))
+
+    def lay(part: pa.Table) -> pa.Table:
+        part = part.sort_by("entry")
+        rows = fill(list(zip(part.column("n").to_pylist(), part.column("own").to_pylist(), strict=True)), volume_bytes)
+        ids, entry = part.column("archive_id")[0].as_py(), part.column("entry").to_pylist()
+        return pa.table({"archive_id": [ids] * len(rows), "entry": pa.array([entry[r[0]] for r in rows], pa.int64()), **{c: pa.array([r[i] for r in rows], pa.int64()) for i, c in ((1, "volume"), (2, "from"), (3, "to"))}})
+
+    layout = slim.groupBy("archive_id").applyInArrow(lay, "archive_id string, entry long, volume long, from long, to long")
+    cut = entries.join(layout, ["archive_id", "entry"])
+    piece = F.substring("payload", (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int"))
+    return cut.withColumns({"piece": piece, "split_before": F.col("from") > 0, "split_after": F.col("to") < F.octet_length("payload")}).drop("from", "to")
+
+
+def volumes(entries: DataFrame, volume_bytes: int, headers_count: bool = False) -> DataFrame:
     """archive_id, volume and content of volume sets. Every piece repeats the entry's size; the checksums are the
-    piece's own, but the whole entry's in its last piece. has_blake, if there, is as in ``archives``."""
-    cut = pieces(entries, volume_bytes)
+    piece's own, but the whole entry's in its last piece. has_blake, if there, is as in ``archives``. ``volume_bytes`` are of the
+    payload in a volume or, if ``headers_count``, of its whole file."""
+    cut = pieces_by_file(entries, volume_bytes) if headers_count else pieces(entries, volume_bytes)
     cut = _hashed(cut, "piece", F.col("split_after"))
     crc = F.when(F.col("split_after"), F.crc32("piece")).otherwise(F.crc32("payload"))
     blocks = with_blocks(cut, F.col("piece"), crc, F.col("split_before"), F.col("split_after"))

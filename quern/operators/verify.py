@@ -40,7 +40,7 @@ def _run(order: Window) -> Column:
 
 
 def _joined_payload() -> Column:
-    return F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("volume", "block", "payload"))), lambda x: x["payload"]), empty(), lambda a, b: F.concat(a, b))
+    return F.coalesce(F.expr("listagg(payload) within group (order by volume, block)"), empty())
 
 
 def blake2sp(data: bytes) -> bytes:
@@ -112,44 +112,52 @@ def summary(verdict: DataFrame) -> DataFrame:
     return rolled.withColumn("status", status).withColumn("exit_code", leaves)
 
 
-HEADERS_ENCRYPTED = "archive headers are encrypted (-hp); contents cannot be verified without a password"
+#: What can be wrong besides what ends a walk (see ``parse``), as codes.
+HEADERS_ENCRYPTED, HEADER_DIFFERS, COMMENT_DIFFERS, PAYLOAD_MISSING, VOLUME_MISSING = "HEADERS_ENCRYPTED", "HEADER_DIFFERS", "COMMENT_DIFFERS", "PAYLOAD_MISSING", "VOLUME_MISSING"
+CRC32_DIFFERS, BLAKE2SP_DIFFERS, PART_CRC32_DIFFERS, PART_BLAKE2SP_DIFFERS = "CRC32_DIFFERS", "BLAKE2SP_DIFFERS", "PART_CRC32_DIFFERS", "PART_BLAKE2SP_DIFFERS"
 
 
 def validation(blocks: DataFrame) -> DataFrame:
     """One verdict for each archive: the first thing wrong, in block order, or none; with counts of what was read.
 
     Stored payloads are compared with every checksum they have, those of split entries once their pieces are joined (at the
-    last piece); leading pieces with the checksum of their own bytes. unverified counts entries that can't be: encrypted and compressed
+    last piece); leading pieces with the checksum of their own bytes. A split entry of which a piece is missing, or a set of which a volume is
+    (a number is skipped, or the last volume announces another), isn't valid. unverified counts entries that can't be verified: encrypted and compressed
     ones, and split ones of which a piece is missing. An archive with encrypted headers isn't valid and has headers_encrypted set, as
-    nothing is known of its contents. An entry without a checksum passes, and lengths aren't compared: ``verdicts`` does both."""
+    nothing is known of its contents; nor is one of a family that isn't read here. An entry without a checksum passes, and lengths aren't compared: ``verdicts`` does both."""
     at, order = F.struct("volume", "block"), Window.partitionBy("archive_id", "is_piece").orderBy("volume", "block")
     file = F.coalesce(is_file(), F.lit(False))
     plain = file & ~F.col("is_directory") & ~F.col("is_encrypted")
     split, stored = plain & (F.col("split_before") | F.col("split_after")), F.coalesce(_stored(), F.lit(False))
     own = (plain & ~split & stored) | (plain & F.col("split_after"))
     rows = blocks.withColumns({"is_piece": file, "blake_actual": blake_of("payload", own & F.col("blake2sp").isNotNull())})
-    part = lambda name: F.when(F.col("split_after"), f"packed-part {name} mismatch").otherwise(f"payload {name} mismatch")
-    wrong = F.when(F.col("error").isNotNull(), F.col("error")).when(~F.col("crc_ok"), "header CRC mismatch").when(headers_encrypted(), HEADERS_ENCRYPTED)
-    wrong = wrong.when(plain & ~split & (F.col("family") == 50) & (F.col("size") > 0) & (F.col("data_size") == 0), "file header declares unpacked data but no packed data size; payload cannot be verified")
-    wrong = wrong.when(own & (F.crc32("payload") != F.col("crc")), part("CRC32")).when(own & (F.col("blake_actual") != F.col("blake2sp")), part("BLAKE2sp"))
+    part = lambda own, whole: F.when(F.col("split_after"), own).otherwise(whole)
+    wrong = F.when(F.col("error").isNotNull(), F.col("error")).when(~F.col("crc_ok"), HEADER_DIFFERS).when(headers_encrypted(), HEADERS_ENCRYPTED).when(~F.col("comment_ok"), COMMENT_DIFFERS)
+    wrong = wrong.when(plain & ~split & (F.col("family") == 50) & (F.col("size") > 0) & (F.col("data_size") == 0), PAYLOAD_MISSING)
+    wrong = wrong.when(own & (F.crc32("payload") != F.col("crc")), part(PART_CRC32_DIFFERS, CRC32_DIFFERS)).when(own & (F.col("blake_actual") != F.col("blake2sp")), part(PART_BLAKE2SP_DIFFERS, BLAKE2SP_DIFFERS))
     skipped = F.coalesce("is_encrypted", F.lit(False)) | (plain & ~stored)
     rows = rows.select(
         "archive_id", "volume", "block", "family", "type", "name", "crc", "blake2sp", "is_piece", "split_before", "split_after", F.coalesce("is_encrypted", F.lit(False)).alias("is_encrypted"), wrong.alias("wrong"),
-        F.coalesce(headers_encrypted() & F.col("crc_ok"), F.lit(False)).alias("hidden"), skipped.alias("skipped"), split.alias("split"), F.when(split & stored, F.col("payload")).alias("payload"),
+        "volume_number", "next_volume", F.coalesce(headers_encrypted() & F.col("crc_ok"), F.lit(False)).alias("hidden"), skipped.alias("skipped"), split.alias("split"), F.when(split & stored, F.col("payload")).alias("payload"),
     )
     runs = rows.withColumn("run", _run(order)).groupBy("archive_id", "is_piece", "run").agg(
         F.max("family").alias("family"), F.count("type").alias("blocks"), F.count_if("is_piece").alias("files"), F.bool_or("is_encrypted").alias("is_encrypted"), F.bool_or("hidden").alias("hidden"), F.bool_or("skipped").alias("skipped"),
         F.min_by("wrong", F.when(F.col("wrong").isNotNull(), at)).alias("wrong"), F.min(F.when(F.col("wrong").isNotNull(), at)).alias("at"), F.max(at).alias("last"), F.bool_or("split").alias("split"),
         (~F.min_by("split_before", at) & ~F.max_by("split_after", at)).alias("complete"), F.max_by("crc", at).alias("crc"), F.max_by("blake2sp", at).alias("blake2sp"), _joined_payload().alias("payload"),
+        F.max("volume_number").alias("last_number"), F.count_distinct("volume_number").alias("numbers"), F.max_by("next_volume", F.when(F.col("next_volume").isNotNull(), at)).alias("more"), F.max(F.when(F.col("next_volume").isNotNull(), at)).alias("more_at"),
     )
     whole = F.col("split") & F.col("complete") & ~F.col("skipped")
     runs = runs.withColumn("blake_actual", blake_of("payload", whole & F.col("blake2sp").isNotNull()))
-    joined = F.when(whole & (F.crc32("payload") != F.col("crc")), "payload CRC32 mismatch").when(whole & (F.col("blake_actual") != F.col("blake2sp")), "payload BLAKE2sp mismatch")
+    joined = F.when(whole & (F.crc32("payload") != F.col("crc")), CRC32_DIFFERS).when(whole & (F.col("blake_actual") != F.col("blake2sp")), BLAKE2SP_DIFFERS)
+    joined = F.when(F.col("split") & ~F.col("complete"), VOLUME_MISSING).otherwise(joined)
     runs = runs.withColumn("at", F.coalesce("at", F.when(joined.isNotNull(), F.col("last")))).withColumn("wrong", F.coalesce("wrong", joined))
-    return runs.groupBy("archive_id").agg(
+    found = runs.groupBy("archive_id").agg(
         F.max("family").alias("family"), F.sum("blocks").alias("block_count"), F.sum("files").alias("file_count"), F.bool_or("is_encrypted").alias("has_encrypted"), F.bool_or("hidden").alias("headers_encrypted"),
         F.count_if(F.col("skipped") | (F.col("split") & ~F.col("complete"))).alias("unverified"), F.min_by("wrong", "at").alias("error"),
-    ).withColumn("is_valid", F.col("error").isNull())
+        (F.sum("numbers") <= F.max("last_number")).alias("gap"), F.max_by("more", "more_at").alias("more"),
+    )
+    missing = F.coalesce("gap", F.lit(False)) | F.coalesce("more", F.lit(False))
+    return found.withColumn("error", F.coalesce("error", F.when(missing, VOLUME_MISSING))).withColumn("is_valid", F.col("error").isNull()).drop("gap", "more")
 
 
 def listing(blocks: DataFrame) -> DataFrame:
@@ -160,6 +168,30 @@ def listing(blocks: DataFrame) -> DataFrame:
     )
 
 
+def file_info(blocks: DataFrame) -> DataFrame:
+    """archive_id and the fields of every file block that a reader shows; numbers that it lacks are 0."""
+    method = F.when(F.col("family") == 15, F.col("info")).otherwise(compression_fields("info")["method"])
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return blocks.filter(is_file()).select(
+        "archive_id", "name", "size", F.col("data_size").alias("packed"), number("crc").alias("crc"), number("mtime").alias("mtime"), method.cast("int").alias("method"), "host", number("version").alias("version"),
+        "is_directory", "is_encrypted", "split_before", "split_after",
+    )
+
+
+def metadata(blocks: DataFrame) -> DataFrame:
+    """archive_id, name, attributes, time and its kind (0: none, 1: Unix seconds, 2: local DOS time), and whether the attributes
+    are a POSIX mode."""
+    old = F.col("family") == 15
+    kind = F.when(F.col("mtime").isNull(), 0).when(old, 2).otherwise(1)
+    return blocks.filter(is_file()).select("archive_id", "name", "attributes", "mtime", kind.alias("time_kind"), (F.col("host") == F.when(old, 3).otherwise(1)).alias("has_posix_mode"))
+
+
+def extract_totals(blocks: DataFrame) -> DataFrame:
+    """archive_id, files (without folders) and the bytes that they hold once unpacked; split entries count at their first piece."""
+    first = is_file() & ~F.col("split_before")
+    return blocks.filter(first).groupBy("archive_id").agg(F.count_if(~F.col("is_directory")).alias("files"), F.sum("size").alias("bytes"))
+
+
 def solid_runs(rows: DataFrame, key: list[str], order: list[str], resets: str) -> DataFrame:
     """Numbers the runs of rows that share a dictionary: a new one begins wherever ``resets`` is true."""
     w = Window.partitionBy(*key).orderBy(*order)

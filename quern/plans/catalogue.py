@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import campaign, create, parse, verify
-from ..sources.archives import ENTRIES, document_entries, table, volume_sets
+from ..operators import campaign, create, extract, parse, verify
+from ..sources.archives import ENTRIES, archive_files, document_entries, shared_folder, table, volume_sets, walk
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -180,7 +180,7 @@ def orphan_chunks(spark, sf_dir):
     return verify.assembled(b).groupBy("archive_id").agg(F.count_distinct(F.when(~F.col("complete"), F.col("name"))).alias("incomplete"))
 
 
-@query("SELECT {ARCHIVE} AS archive_id, CASE WHEN min(doc_id) FILTER (doc_id % 17 = 0 AND doc_id % 29 <> 0 AND doc_id % 23 <> 0 AND strlen(text) > 0) IS NULL THEN NULL ELSE 'payload CRC32 mismatch' END AS error, count(*) + 2 AS block_count, count(*) AS file_count, count(*) FILTER (doc_id % 29 = 0) AS unverified FROM documents GROUP BY 1")
+@query("SELECT {ARCHIVE} AS archive_id, CASE WHEN min(doc_id) FILTER (doc_id % 17 = 0 AND doc_id % 29 <> 0 AND doc_id % 23 <> 0 AND strlen(text) > 0) IS NULL THEN NULL ELSE 'CRC32_DIFFERS' END AS error, count(*) + 2 AS block_count, count(*) AS file_count, count(*) FILTER (doc_id % 29 = 0) AS unverified FROM documents GROUP BY 1")
 def validate_first_error(spark, sf_dir):
     v = verify.validation(parse.blocks(create.archives(_faulty(spark, sf_dir))))
     return v.select("archive_id", "error", "block_count", "file_count", "unverified")
@@ -195,11 +195,11 @@ def truncation_verdict(spark, sf_dir):
     return v.select(F.substring_index("archive_id", "|", 1).alias("archive_id"), F.substring_index("archive_id", "|", -1).cast("int").alias("cut"), "is_valid")
 
 
-@query("SELECT count(*) * 5 AS mutants, count(*) * 5 AS damaged FROM documents WHERE strlen(text) >= 5")
+@query("WITH s AS (SELECT strlen(text) AS n FROM documents WHERE strlen(text) > 0) SELECT sum(len(list_distinct([0, n // 4, n * 2 // 4, n * 3 // 4, n - 1])))::BIGINT AS mutants, sum(len(list_distinct([0, n // 4, n * 2 // 4, n * 3 // 4, n - 1])))::BIGINT AS damaged FROM s")
 def sniper_mutations(spark, sf_dir):
-    """One changed byte at five places of each payload damages exactly that entry."""
-    e = document_entries(spark, sf_dir).filter(F.octet_length("payload") >= 5)
-    shots = e.withColumn("at", F.explode(campaign.sniper_positions(F.octet_length("payload").cast("long"))))
+    """One changed byte at the five places of each payload (fewer, where they fall together) damages exactly that entry."""
+    e = document_entries(spark, sf_dir).filter(F.octet_length("payload") > 0)
+    shots = e.withColumn("at", F.explode(F.array_distinct(campaign.sniper_positions(F.octet_length("payload").cast("long")))))
     shots = shots.withColumn("archive_id", F.concat_ws("|", "archive_id", "entry", F.monotonically_increasing_id().cast("string"))).withColumn("written", campaign.xor_byte("payload", F.col("at")))
     s = verify.summary(verify.verdicts(parse.blocks(create.archives(shots)).filter(verify.is_file())))
     return s.agg(F.count("*").alias("mutants"), F.count_if(F.col("damaged") == 1).alias("damaged"))
@@ -212,6 +212,92 @@ def old_family_archives(spark, sf_dir):
     return verify.validation(b).join(size, "archive_id").select("archive_id", "family", "file_count", "is_valid", "bytes")
 
 
+@query(
+    """WITH s AS (SELECT {ARCHIVE} AS archive_id, doc_id, strlen(text) AS n FROM documents), c AS (SELECT *, sum(n) OVER (PARTITION BY archive_id ORDER BY doc_id) AS upto FROM s),
+    v AS (SELECT archive_id, (max(upto) - 1) // 4096 AS last, max(doc_id) FILTER (n > 0) AS final FROM c GROUP BY 1), p AS (SELECT v.*, (upto - n) // 4096 AS a FROM v JOIN c ON c.archive_id = v.archive_id AND c.doc_id = final)
+    SELECT archive_id, kind, CASE kind WHEN 'whole' THEN NULL WHEN 'changed' THEN 'CRC32_DIFFERS' ELSE CASE WHEN last >= 1 THEN 'VOLUME_MISSING' END END AS error, kind = 'whole' OR (kind = 'missing' AND last < 1) AS is_valid
+    FROM p, (SELECT unnest(['whole', 'changed', 'missing']) AS kind)"""
+)
+def validate_volumes(spark, sf_dir):
+    """Volume sets as they were made, with a byte of the last payload in their last volume changed, and without their second volume."""
+    v = create.volumes(document_entries(spark, sf_dir), 4096)
+    last = v.groupBy("archive_id").agg(F.max("volume").alias("last"))
+    named = lambda df, kind: df.select(F.concat_ws("|", "archive_id", F.lit(kind)).alias("archive_id"), "volume", "content")
+    changed = campaign.xor_byte("content", F.octet_length("content") - 9)  # the last byte before the end block
+    broken = v.join(last, "archive_id").withColumn("content", F.when(F.col("volume") == F.col("last"), changed).otherwise(F.col("content")))
+    sets = named(v, "whole").union(named(broken, "changed")).union(named(v.filter("volume != 1"), "missing"))
+    found = verify.validation(parse.blocks(sets))
+    return found.select(F.substring_index("archive_id", "|", 1).alias("archive_id"), F.substring_index("archive_id", "|", -1).alias("kind"), "error", "is_valid")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 51 WHEN 1 THEN 14 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 50 ELSE 15 END AS family,
+    CASE event_id % 6 WHEN 0 THEN 'RECOVERY_DATA' WHEN 1 THEN 'OLDEST_FAMILY' WHEN 2 THEN 'LATER_VERSION' WHEN 3 THEN 'NO_MARK' ELSE 'HEADERS_ENCRYPTED' END AS error, event_id % 6 > 3 AS has_encrypted FROM events"""
+)
+def validate_dispatch(spark, sf_dir):
+    """Files of families that aren't read, of later versions, without a mark, and with encrypted headers, some behind other bytes."""
+    e, kind = table(spark, sf_dir, "events"), F.col("event_id") % 6
+    old = F.unhex(F.lit("73" + "8000" + "0D00" + "000000000000"))
+    old = F.concat(F.unhex(F.lit(S.SIGNATURES[15])), S.le_bytes(F.crc32(old).bitwiseAND(F.lit(65535)), 2), old)
+    new = F.concat(create.mark(), create.framed_constant(bytes([4, 0, 0, 0, 15]) + bytes(16)))
+    mark = F.when(kind == 0, F.unhex(F.lit(S.SIGNATURES[51]))).when(kind == 1, F.unhex(F.lit(S.SIGNATURES[14]))).when(kind == 2, F.unhex(F.lit("526172211A070300"))).when(kind == 3, F.unhex(F.lit("00"))).when(kind == 4, new).otherwise(old)
+    code = F.when(F.col("event_id") % 5 == 0, F.encode("props", "UTF-8")).otherwise(F.expr("X''"))
+    files = e.select(F.col("event_id").cast("string").alias("archive_id"), F.lit(0).alias("volume"), F.concat(code, mark, F.encode("props", "UTF-8")).alias("content"))
+    v = verify.validation(parse.blocks(files))
+    return v.select(F.col("archive_id").cast("long").alias("event_id"), "family", "error", "has_encrypted")
+
+
+@query("SELECT {ARCHIVE} AS archive_id, count(*) AS verified, 0::BIGINT AS too_large, true AS filled FROM documents GROUP BY 1")
+def volume_file_sizes(spark, sf_dir):
+    """Volumes whose files, headers included, have at most 4,096 bytes: none is larger, each but the last lacks no more than a header, and
+    every entry verifies."""
+    v = create.volumes(document_entries(spark, sf_dir), 4096, headers_count=True)
+    last = v.groupBy("archive_id").agg(F.max("volume").alias("last"))
+    size = F.octet_length("content")
+    fits = v.join(last, "archive_id").groupBy("archive_id").agg(F.count_if(size > 4096).alias("too_large"), F.bool_and((size > 4096 - 80) | (F.col("volume") == F.col("last"))).alias("filled"))
+    good = verify.verdicts(verify.assembled(parse.blocks(v)).filter("complete and parts_ok")).groupBy("archive_id").agg(F.count_if(F.col("status") == 0).alias("verified"))
+    return good.join(fits, "archive_id").select("archive_id", "verified", "too_large", "filled")
+
+
+@query("SELECT {ARCHIVE} AS archive_id, lang || '/' || doc_id::VARCHAR || '.txt' AS name, md5(text) AS digest, 0 AS status FROM documents")
+def files_round_trip(spark, sf_dir):
+    """Volume sets written as files, found again by their names, opened as sets."""
+    folder = shared_folder(spark, "volumes")
+    extract.write_files(extract.volume_files(create.volumes(document_entries(spark, sf_dir), 65536, headers_count=True)), folder).count()
+    v = verify.verdicts(verify.assembled(parse.blocks(archive_files(spark, folder, "*.rar"))))
+    return v.select(F.regexp_extract("archive_id", r"([^/]*?)(\.part[0-9]+)?\.rar$", 1).alias("archive_id"), "name", F.md5("payload").alias("digest"), "status")
+
+
+@query("SELECT {ARCHIVE} || '/' || lang || '/' || doc_id::VARCHAR || '.txt' AS path, md5(text) AS digest, CASE WHEN doc_id % 29 = 0 THEN 'UNSUPPORTED' WHEN doc_id % 17 = 0 AND doc_id % 23 <> 0 AND strlen(text) > 0 THEN 'DAMAGED' END AS reason FROM documents")
+def extract_tree(spark, sf_dir):
+    """Archives with faults, extracted to a folder: digests of the files read back, and reasons of those that weren't written. (Digests
+    of refused entries are those of the documents, so that both sides have one.)"""
+    folder = shared_folder(spark, "tree")
+    files = verify.verdicts(verify.assembled(parse.blocks(create.archives(_faulty(spark, sf_dir))))).withColumn("mode", F.lit(0o644))
+    done = extract.extract(files, folder).select(F.concat_ws("/", "archive_id", "path").alias("path"), "reason")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder).select(F.substring_index("path", "/", -3).alias("path"), F.md5("content").alias("digest"))
+    source = document_entries(spark, sf_dir).select(F.concat_ws("/", "archive_id", "name").alias("path"), F.md5("payload").alias("own"))
+    both = done.join(read, "path", "left").join(source, "path")
+    return both.select("path", F.when(F.col("reason").isNull(), F.col("digest")).when(F.col("digest").isNull(), F.col("own")).alias("digest"), "reason")
+
+
+@query("SELECT {ARCHIVE} AS archive_id, lang || '/' || doc_id::VARCHAR || '.txt' AS name, strlen(text)::BIGINT AS size, strlen(text)::BIGINT AS packed, 1700000000::BIGINT AS mtime, 0 AS method, 1 AS host, 0::BIGINT AS version, false AS is_directory, doc_id % 29 = 0 AS is_encrypted, false AS split_before, false AS split_after FROM documents")
+def file_info(spark, sf_dir):
+    return verify.file_info(parse.blocks(create.archives(_faulty(spark, sf_dir)))).drop("crc")
+
+
+@query("SELECT {ARCHIVE} AS archive_id, lang || '/' || doc_id::VARCHAR || '.txt' AS name, f, 32::BIGINT AS attributes, CASE f WHEN 50 THEN 1700000000 ELSE 1344339968 END::BIGINT AS mtime, CASE f WHEN 50 THEN 1 ELSE 2 END AS time_kind, true AS has_posix_mode FROM documents, (SELECT unnest([50, 15]) AS f)")
+def entry_metadata(spark, sf_dir):
+    e = document_entries(spark, sf_dir)
+    made = lambda a, f: verify.metadata(parse.blocks(a)).withColumn("f", F.lit(f))
+    return made(create.archives(e), 50).union(made(create.old_archives(e), 15))
+
+
+@query("SELECT {ARCHIVE} AS archive_id, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
+def extract_totals(spark, sf_dir):
+    return verify.extract_totals(parse.blocks(create.volumes(document_entries(spark, sf_dir), 4096)))
+
+
 @query()
 def blake2sp_digests(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -238,10 +324,13 @@ def vint_size(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", S.vint_size("v").alias("vint_size"))
 
 
-@query(f"WITH v AS (SELECT o_orderkey, o_orderkey * o_custkey AS v FROM orders) SELECT o_orderkey, {_VS.format('v')}::INT AS written FROM v")
+@query(
+    f"""WITH v AS (SELECT o_orderkey, o_orderkey * o_custkey AS v FROM orders), n AS (SELECT *, {_VS.format('v')} AS n FROM v)
+    SELECT o_orderkey, array_to_string(list_transform(range(n), lambda i: printf('%02X', ((v >> (7 * i)) & 127) + CASE WHEN i < n - 1 THEN 128 ELSE 0 END)), '') AS written FROM n"""
+)
 def vint_bytes(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * F.col("o_custkey")).alias("v"))
-    return rows.select("o_orderkey", F.octet_length(S.vint("v")).alias("written"))
+    return rows.select("o_orderkey", F.hex(S.vint("v")).alias("written"))
 
 
 @query("SELECT event_type, count(*) AS files, CASE event_type[1] WHEN 'c' THEN 50 WHEN 'v' THEN 15 WHEN 'p' THEN 51 WHEN 's' THEN 14 ELSE 0 END AS family FROM events GROUP BY 1")
@@ -253,21 +342,23 @@ def detect_family(spark, sf_dir):
     return e.groupBy("event_type", "family").agg(F.count("*").alias("files"))
 
 
-@query("SELECT event_id, (2 * strlen(props) + 1)::BIGINT AS at FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN -1 ELSE strlen(props) END::BIGINT AS at, CASE event_id % 4 WHEN 0 THEN 50 WHEN 1 THEN 15 WHEN 2 THEN 51 ELSE 0 END AS family FROM events")
 def sfx_offset(spark, sf_dir):
-    """Where an archive begins behind other bytes, as a place in the file's hex digits."""
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", S.embedded_offset(F.concat(F.encode("props", "UTF-8"), create.mark())).alias("at"))
+    """The byte at which an archive begins behind other bytes, and its family; every fourth file holds none."""
+    e, kind = table(spark, sf_dir, "events"), F.col("event_id") % 4
+    mark = F.when(kind == 0, S.SIGNATURES[50]).when(kind == 1, S.SIGNATURES[15]).when(kind == 2, S.SIGNATURES[51]).otherwise("00")
+    found = e.select("event_id", S.detect(F.concat(F.encode("props", "UTF-8"), F.unhex(mark), F.encode("props", "UTF-8"))).alias("d"))
+    return found.select("event_id", F.col("d.at").alias("at"), F.col("d.family").alias("family"))
 
 
-@query("SELECT ascii(substr(p_name, i, 1))::INT AS symbol, count(*) AS n FROM part, range(1, 65) r(i) WHERE i <= length(p_name) GROUP BY 1")
+@query("SELECT ascii(c)::INT AS symbol, count(*) AS n FROM (SELECT unnest(string_split(p_name, '')) AS c FROM part) WHERE c <> '' GROUP BY 1")
 def symbol_histogram(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", "")).alias("c")).filter("c != ''")
     return p.groupBy(F.ascii("c").alias("symbol")).agg(F.count("*").alias("n"))
 
 
 @query(
-    """WITH b AS (SELECT p_partkey, i, (i - 1) % 3 AS channel, ascii(substr(p_name, i, 1)) AS v FROM part, range(1, 65) r(i) WHERE i <= length(p_name))
+    """WITH b AS (SELECT p_partkey, i, (i - 1) % 3 AS channel, ascii(substr(p_name, i, 1)) AS v FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part))
     SELECT p_partkey, i::INT AS at, ((-sum(v) OVER (PARTITION BY p_partkey, channel ORDER BY i))::BIGINT & 255)::BIGINT AS filtered FROM b"""
 )
 def delta_filter(spark, sf_dir):
@@ -444,7 +535,7 @@ def _trials(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     tool = campaign.tool_class(F.when(F.col("event_id") % 4 == 0, 0).when(F.col("event_id") % 4 == 3, 69).otherwise(1))
     reference = F.when(F.col("event_id") % 5 == 0, "valid").when(F.col("event_id") % 5 == 4, "other").otherwise("damaged")
-    return e.select((F.col("user_id") % 6).alias("input"), F.col("event_type").alias("profile"), campaign.pair_outcome(tool, reference).alias("outcome"))
+    return e.select("event_id", (F.col("user_id") % 6).alias("input"), F.col("event_type").alias("profile"), campaign.pair_outcome(tool, reference).alias("outcome"))
 
 
 @query(f"WITH {_TRIALS} SELECT input, profile, outcome, count(*) AS trials FROM o GROUP BY ALL")
@@ -475,3 +566,45 @@ def sample_sizes(spark, sf_dir):
 def execution_classes(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 140).alias("code"))
     return o.groupBy("code", F.coalesce(campaign.execution_class(F.col("code")), F.lit("ended")).alias("class")).agg(F.count("*").alias("runs"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE event_id % 3 WHEN 0 THEN 'valid' WHEN 1 THEN 'tool-error' ELSE 'damaged' END WHEN 1 THEN CASE event_id % 3 WHEN 1 THEN 'damaged' ELSE 'tool-error' END
+    WHEN 2 THEN 'damaged' WHEN 3 THEN CASE event_id % 3 WHEN 0 THEN 'damaged' ELSE 'tool-error' END ELSE 'tool-error' END AS class FROM events"""
+)
+def reference_classes(spark, sf_dir):
+    """What exit codes 0, 1, 3, 13 and 2 of another reader say beside three messages."""
+    e, code = table(spark, sf_dir, "events"), F.element_at(F.array(*(F.lit(c) for c in (0, 1, 3, 13, 2))), (F.col("event_id") % 5 + 1).cast("int"))
+    kind = F.col("event_id") % 3
+    text = F.when(kind == 0, "x.rar\nERROR: Bad archive x.rar").when(kind == 1, "x.rar\r\nUnexpected end of archive\r\n").otherwise("The archive comment is corrupt\nx")
+    return e.select("event_id", campaign.reference_class(code, text).alias("class"))
+
+
+@query(
+    """WITH c AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'valid' WHEN 1 THEN 'damaged' ELSE 'tool-error' END AS r, CASE event_id % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'damaged' WHEN 2 THEN 'unverifiable' ELSE 'valid' END AS t FROM events)
+    SELECT event_id, CASE WHEN r = 'valid' AND t = 'valid' THEN 'benign' WHEN r = 'valid' AND t = 'damaged' THEN 'stricter' WHEN r = 'damaged' AND t = 'valid' THEN 'missed' WHEN r = 'damaged' AND t = 'damaged' THEN 'detected' ELSE 'inconclusive' END AS pair FROM c"""
+)
+def mutation_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    reference = F.when(F.col("event_id") % 3 == 0, "valid").when(F.col("event_id") % 3 == 1, "damaged").otherwise("tool-error")
+    tool = F.when(F.col("event_id") % 4 == 1, "damaged").when(F.col("event_id") % 4 == 2, "unverifiable").otherwise("valid")
+    return e.select("event_id", campaign.mutation_pair(reference, tool).alias("pair"))
+
+
+@query(
+    f"""WITH {_TRIALS.replace('user_id % 6 AS input', 'event_id, user_id % 6 AS input')}, w AS (SELECT *, row_number() OVER p AS turn, coalesce(sum((outcome IN ('detected', 'missed', 'unverifiable'))::INT) OVER (PARTITION BY input, profile ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
+    FROM o WINDOW p AS (PARTITION BY input, profile ORDER BY event_id)) SELECT input, profile, count(*) AS attempts, count(*) FILTER (outcome = 'detected') AS detected FROM w WHERE done < 20 AND turn <= 80 GROUP BY ALL"""
+)
+def campaign_stop(spark, sf_dir):
+    """What a campaign runs of each cell's trials that stops at 20 eligible ones or at 80 attempts."""
+    run = campaign.until_target(_trials(spark, sf_dir), "input", "profile", order="event_id", target=20)
+    return run.groupBy("input", "profile").agg(F.count("*").alias("attempts"), F.count_if(F.col("outcome") == "detected").alias("detected"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'tool-error' WHEN event_id % 4 = 0 THEN 'valid' WHEN event_id % 4 = 1 THEN 'damaged' WHEN event_id % 4 = 2 THEN 'unverifiable' ELSE 'tool-error' END AS class FROM events")
+def tool_verdicts(spark, sf_dir):
+    """A verdict counts if the output has one line of it, not none nor two."""
+    e = table(spark, sf_dir, "events")
+    code = F.element_at(F.array(*(F.lit(c) for c in (0, 1, 69, 2))), (F.col("event_id") % 4 + 1).cast("int"))
+    output = F.when(F.col("event_id") % 3 == 0, "x\nValidation: y\n").when(F.col("event_id") % 3 == 1, "x").otherwise("Validation: y\nValidation: z")
+    return e.select("event_id", campaign.tool_verdict(code, output).alias("class"))

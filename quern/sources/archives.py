@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +16,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared one; on a single machine without such a setting, in its temporary folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="quern-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def archive_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """archive_id (the path), volume, content of every file under a folder."""
+    """archive_id, volume and content of every file under a folder. The volumes of a set (see ``volume_sets``) are one archive under the
+    path of the first, numbered from 0; files behind a missing volume, and all others, are archives of their own under their paths."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.col("path").alias("archive_id"), F.lit(0).alias("volume"), "content")
+    sets = volume_sets(files.select("path"), "path")
+    first = sets.filter("volume = 1").select("set_id", F.col("name").alias("first"))
+    placed = sets.join(first, "set_id").select(F.col("name").alias("path"), "first", F.col("volume") - 1)
+    placed = placed.toDF("path", "first", "volume")
+    return files.select("path", "content").join(placed, "path", "left").select(F.coalesce("first", "path").alias("archive_id"), F.coalesce("volume", F.lit(0)).cast("int").alias("volume"), "content")
+
+
+def walk(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, length, is_directory and place of all files under a folder and of the folders above them, every folder after what is in
+    it. Only names and sizes are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length")
+    root = F.lit(path.split("://", 1)[-1].split(":", 1)[-1].rstrip("/"))
+    below = files.select(F.substring_index(F.col("path"), "://", -1).alias("path"), "length")
+    below = below.select(F.regexp_replace("path", "^(file:)?/*", "/").alias("path"), "length")
+    folders = directories(below).withColumnRenamed("directory", "path").filter(F.col("path").startswith(F.concat(root, F.lit("/"))))
+    both = below.withColumn("is_directory", F.lit(False)).union(folders.select("path", F.lit(0).cast("long"), F.lit(True)))
+    # A folder sorts behind all paths below it: "/" ends files' parents, and the last code point ends folders.
+    return both.withColumn("place", F.when(F.col("is_directory"), F.concat("path", F.lit("/\U0010ffff"))).otherwise(F.col("path")))
 
 
 def directories(paths: DataFrame, name: str = "path") -> DataFrame:

@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import campaign, create, parse, verify
+from quern.operators import campaign, create, extract, parse, verify
 from quern.sources import archives as sources
 from quern.streaming.verdicts import streamed_summaries
 
@@ -64,7 +64,7 @@ def test_every_changed_byte_is_noticed(spark):
     assert verify.validation(parse.blocks(mutants)).filter("is_valid").count() == 0
     cut = whole.crossJoin(spark.range(1, n + 1)).select(F.concat_ws("-", "archive_id", "id").alias("archive_id"), "volume", campaign.drop_suffix("content", F.col("id")).alias("content"))
     errors = {r.error for r in verify.validation(parse.blocks(cut)).collect()}
-    assert None not in errors and {"no data after signature", "no recognized RAR signature", "block parse error", "archive ends without an end-of-archive block (truncated)"} <= errors
+    assert None not in errors and {parse.EMPTY_ARCHIVE, parse.NO_MARK, parse.BROKEN_BLOCK, parse.NO_END_BLOCK} <= errors
 
 
 def test_old_family(entries):
@@ -133,13 +133,15 @@ def framed(header: bytes) -> bytes:
 
 def test_validation_joins_split_entries(spark):
     e = spark.createDataFrame([("a", 0, "n", bytes(range(250)) * 4, 1, False, False, True)], SCHEMA)
-    for made, want in ((e, "payload CRC32 mismatch"), (e.withColumn("has_crc", F.lit(False)).withColumn("has_blake", F.lit(True)), "payload BLAKE2sp mismatch")):
+    for made, want in ((e, verify.CRC32_DIFFERS), (e.withColumn("has_crc", F.lit(False)).withColumn("has_blake", F.lit(True)), verify.BLAKE2SP_DIFFERS)):
         parts = [bytes(r.content) for r in create.volumes(made, 400).orderBy("volume").collect()]
         assert verify.validation(one(spark, *parts)).first().is_valid
         last = parts[2][:-20] + bytes([parts[2][-20] ^ 1]) + parts[2][-19:]
         assert verify.validation(one(spark, parts[0], parts[1], last)).first().error == want
-        assert verify.validation(one(spark, parts[0][:-20] + bytes([parts[0][-20] ^ 1]) + parts[0][-19:], *parts[1:])).first().error == want.replace("payload", "packed-part")
-        assert verify.validation(one(spark, *parts[:2])).first().unverified == 1
+        assert verify.validation(one(spark, parts[0][:-20] + bytes([parts[0][-20] ^ 1]) + parts[0][-19:], *parts[1:])).first().error == "PART_" + want
+        for some in (parts[:2], parts[1:], [parts[0], parts[2]]):
+            r = verify.validation(parse.blocks(spark.createDataFrame([("a", parts.index(c), c) for c in some], "archive_id string, volume int, content binary"))).first()
+            assert r.unverified >= 1 and (r.is_valid, r.error) == (False, verify.VOLUME_MISSING)
 
 
 def test_validation_of_payloads_it_cannot_read(spark):
@@ -148,7 +150,7 @@ def test_validation_of_payloads_it_cannot_read(spark):
     r = verify.validation(one(spark, parse.NEW + framed(bytes([1, 0, 0])) + framed(packed) + b"12345" + framed(bytes([5, 0, 0])))).first()
     assert (r.is_valid, r.unverified, r.file_count) == (True, 1, 1)
     e = spark.createDataFrame([("a", 0, "n", b"payload", 1, False, False, False)], SCHEMA).withColumn("has_blake", F.lit(True)).withColumn("written", F.encode(F.lit("pAyload"), "UTF-8"))
-    assert verify.validation(parse.blocks(create.archives(e))).first().error == "payload BLAKE2sp mismatch"
+    assert verify.validation(parse.blocks(create.archives(e))).first().error == verify.BLAKE2SP_DIFFERS
 
 
 def test_encrypted_headers(spark):
@@ -168,4 +170,90 @@ def test_code_before_an_archive(spark, entries):
         content = bytes(made.first().content)
         r = verify.validation(one(spark, b"MZ code " * 300 + content)).first()
         assert r.is_valid and r.file_count == 1
-        assert verify.validation(one(spark, b"MZ code " * 300 + content[:900] + b"?" + content[901:])).first().error == "payload CRC32 mismatch"
+        assert verify.validation(one(spark, b"MZ code " * 300 + content[:900] + b"?" + content[901:])).first().error == verify.CRC32_DIFFERS
+
+
+def test_families_that_are_not_read(spark):
+    for content, family, error in ((b"Rar!\x1aRev data", 51, parse.RECOVERY_DATA), (b"MZ RE~^ data", 14, parse.OLDEST_FAMILY), (b"Rar!\x1a\x07\x03\x00", 0, parse.LATER_VERSION), (b"text", 0, parse.NO_MARK), (b"", 0, parse.NO_MARK)):
+        r = verify.validation(one(spark, content)).first()
+        assert (r.family, r.error, r.is_valid) == (family, error, False)
+
+
+def test_extra_records(spark):
+    """Times in Unix seconds or ticks override the header's, where they can be held; versions are read."""
+    ticks = lambda s: (116444736000000000 + s * 10_000_000 + 7).to_bytes(8, "little")
+    unix, windows, early = bytes([6, 3, 3]) + (77).to_bytes(4, "little"), bytes([10, 3, 2]) + ticks(88), bytes([10, 3, 2]) + bytes(8)
+    version = bytes([3, 4, 0, 5])
+    for extra, mtime, number in ((unix, 77, None), (windows + version, 88, 5), (early, 9, None), (version, 9, 5), (bytes([2, 3, 0]), 9, None)):
+        body = bytes([2, 1, len(extra), 2, 0, 32]) + (9).to_bytes(4, "little") + bytes([0, 1, 1]) + b"n" + extra
+        row = one(spark, parse.NEW + framed(bytes([1, 0, 0])) + framed(body) + framed(bytes([5, 0, 0]))).filter("type = 2").first()
+        assert (row.mtime, row.version, row.error) == (mtime, number, None)
+
+
+def old_block(kind: int, flags: int, body: bytes, data: bytes = b"", covered: int | None = None) -> bytes:
+    header = bytes([kind]) + flags.to_bytes(2, "little") + (7 + len(body)).to_bytes(2, "little") + body
+    return (zlib.crc32(header[: None if covered is None else covered - 2]) & 0xFFFF).to_bytes(2, "little") + header + data
+
+
+def old_file(flags: int, tail: bytes, data: bytes = b"abc") -> bytes:
+    n = len(data).to_bytes(4, "little")
+    body = n + n + bytes([3]) + zlib.crc32(data).to_bytes(4, "little") + (0x285D0000).to_bytes(4, "little") + bytes([20, 0x30]) + (1).to_bytes(2, "little") + (33188).to_bytes(4, "little") + b"n" + tail
+    return old_block(0x74, 0x8000 | flags, body, data)
+
+
+def test_old_times_and_salt(spark):
+    main = old_block(0x73, 0, bytes(6))
+    times = (0xF << 12 | 0x9 << 4).to_bytes(2, "little") + (1234567).to_bytes(3, "little") + (5).to_bytes(4, "little") + b"\x07"
+    b = one(spark, parse.OLD + main + old_file(0x1400, b"saltsalt" + times)).filter("type = 116").first()
+    assert bytes(b.salt) == b"saltsalt" and b.crc_ok and b.error is None
+    assert [tuple(t) for t in b.times] == [(0, 0x285D0000, True, 1234567), (2, 5, False, 7 << 16)]
+    assert one(spark, parse.OLD + main + old_file(0x1000, b"")).filter("error is not null").first().error == parse.BROKEN_BLOCK
+
+
+def test_old_comments(spark):
+    def comment(text: bytes, method: int = 0x30, own: int | None = None) -> bytes:
+        rest = len(text).to_bytes(2, "little") + bytes([20, method]) + ((zlib.crc32(text) & 0xFFFF) if own is None else own).to_bytes(2, "little")
+        return old_block(0x75, 0, rest + text, covered=13)
+
+    for inner, ok in ((comment(b"hello"), True), (comment(b"hello", own=1), False), (comment(b"packed", 0x33), None), (comment(b"x", 0x40), False), (b"short", False)):
+        b = one(spark, parse.OLD + old_block(0x73, 2, bytes(6) + inner, covered=13) + old_file(0, b""))
+        assert b.filter("type = 115").first().comment_ok == ok and b.filter("not crc_ok").count() == 0
+        assert verify.validation(b).first().error == (verify.COMMENT_DIFFERS if ok is False else None)
+
+
+@pytest.mark.parametrize("size", [150, 700, 10**6])
+def test_volumes_by_file_size(entries, size):
+    made = create.volumes(entries, size, headers_count=True)
+    assert made.filter(F.octet_length("content") > size).count() == 0
+    got = judged(parse.blocks(made))
+    assert all(bytes(got[e.archive_id, e.name].payload) == bytes(e.payload) and got[e.archive_id, e.name].complete for e in entries.collect())
+    with pytest.raises(ValueError):
+        create.fill([(5, 90)], 60)
+
+
+def test_sets_are_opened_from_files(spark, entries, tmp_path):
+    made = create.volumes(entries, 3000, headers_count=True)
+    extract.write_files(extract.volume_files(made), str(tmp_path)).count()
+    files = sources.archive_files(spark, str(tmp_path))
+    assert files.select("archive_id").distinct().count() == 3 and files.count() == made.count()
+    blocks = parse.blocks(files)
+    assert verify.validation(blocks).filter("is_valid").count() == 3
+    assert {n for _, n in judged(blocks)} == {e.name for e in entries.collect()}
+    (tmp_path / "c.part02.rar").unlink()
+    assert {r.error for r in verify.validation(parse.blocks(sources.archive_files(spark, str(tmp_path), "c.*"))).collect()} == {verify.VOLUME_MISSING}
+    places = [r.path for r in sources.walk(spark, str(tmp_path.parent), "*.rar").filter(F.col("path").contains(tmp_path.name)).orderBy("place").collect()]
+    assert places[-1].endswith(tmp_path.name) and len(places) == made.count()
+
+
+def test_extract(spark, entries, tmp_path):
+    bad = [("a", 9, n, b"x", 1, False, False, True) for n in ("../up", "/root", "C:/x", "a/../b", "", "two", "two", "d2/f", "d2", "bell\x07")]
+    both = entries.union(spark.createDataFrame([(*r[:1], 10 + i, *r[2:]) for i, r in enumerate(bad)], SCHEMA))
+    files = verify.verdicts(verify.assembled(parse.blocks(create.archives(both)))).withColumn("mode", F.lit(0o4640))
+    table = extract.extract(files, str(tmp_path / "out")).collect()
+    why = {(r.archive_id, r.name): r.reason for r in table}
+    assert {n: w for (_, n), w in why.items() if w} == {"../up": "NOT_BELOW", "/root": "NOT_BELOW", "C:/x": "NOT_BELOW", "a/../b": "NOT_BELOW", "": "EMPTY_NAME", "two": "NAME_TAKEN", "d2": "NAME_TAKEN", "bell\x07": "CONTROL_CHARACTER", "secret": "UNSUPPORTED"}
+    for e in entries.filter("name != 'secret'").collect():
+        path = tmp_path / "out" / e.archive_id / e.name
+        assert path.is_dir() if e.is_directory else path.read_bytes() == bytes(e.payload)
+        assert path.stat().st_mtime == e.mtime and path.stat().st_mode & 0o7777 == 0o640
+    assert not (tmp_path / "up").exists() and not (tmp_path / "out" / "a" / "two").exists()
