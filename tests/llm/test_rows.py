@@ -77,6 +77,12 @@ def test_allocation(sizes, spans, rule):
         assert abs(c - want) < 1e-9
 
 
+def test_tokens_of_no_rows_and_of_a_very_long_word(spark):
+    assert token_counts.count_tokens(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+    got = token_counts.count_tokens(spark.createDataFrame([(1, "ab" * 50_000), (2, "x" + " " * 50_000 + "y")], "doc_id int, text string")).collect()
+    assert all(r.n_sections == 1 and r.section_tokens == [r.n_tokens] and 0 < r.n_tokens < 100_000 for r in got)
+
+
 def test_given_sections(spark):
     rows = [(1, "one two three four", [(0, 7), (7, 18), None, (3, None)]), (2, None, [(0, 5)]), (3, "éé abc", None)]
     got = {r.doc_id: r for r in token_counts.count_tokens(spark.createDataFrame(rows, "doc_id int, text string, s array<struct<start:int,end:int>>"), sections="s").collect()}
@@ -104,6 +110,18 @@ def test_shards_of_large_ids_beside_null(spark):
     assert {r.doc_id: r.shard for r in sharding.shard_documents(docs).collect()} == want
 
 
+def test_shards_of_hot_keys_and_other_types(spark):
+    """A third of the rows without an id, one id with many texts, one with one text; string ids; slots as without splitting."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 8 if i % 9 == 2 else i, None if i % 50 == 0 else "same" if i % 9 == 2 else f"text {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = lambda got: sorted((r.shard, r.slot, r.doc_id or 0, r.text_crc32 or -1, r.size) for r in got.collect())
+    split, plain = order(sharding.shard_documents(docs, 5, hot_key=50)), order(sharding.shard_documents(docs, 5))
+    assert split == plain and len(plain) == 900
+    named = docs.selectExpr("cast(doc_id as string) as doc_id", "text")
+    got = sharding.shard_documents(named, 5).select("doc_id", "shard", "grown_shard").distinct().collect()
+    assert len({r.doc_id for r in got}) == len(got) and all(r.grown_shard in (r.shard, 5) for r in got) and len({r.shard for r in got}) == 5
+
+
 def test_jump_hash_moves_only_into_the_new_shard():
     keys = sharding.mixed_key(np.arange(20_000))
     before = sharding.jump_hash(keys, 1)
