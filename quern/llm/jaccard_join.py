@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ANSWER, LOWER_WORDS, SEGMENT, Slices, Words, add_up, answers, chunk_of, chunks_for, deal, give_back, partitions, pieces, rows_of, segments, settle, volume, windows
+from .shared import ANSWER, LOWER_WORDS, SEGMENT, Slices, Words, add_up, answers, chunk_of, chunks_for, deal, give_back, hot_from, partitions, pieces, rows_of, segments, settle, spread_join, volume, windows
 
 #: Documents that a block holds on average where one family fills several.
 BLOCK_DOCS = 256
@@ -125,7 +125,7 @@ def active(text: DataFrame, reps: DataFrame, n: int, threshold: int, slices: Sli
                 rows.append((sig, len(s), copies, ordered.tobytes(), np.arange(first, first + len(ordered), dtype=np.int32).tobytes(), s[shared].tobytes()))
         return pa.table({f: pa.array([r[i] for r in rows], k) for i, (f, k) in enumerate((("sig", pa.binary()), ("size", pa.int32()), ("copies", pa.int64()), ("prefix", pa.binary()), ("prefix_at", pa.binary()), ("body", pa.binary())))})
 
-    known = reps.select("_chunk", F.lit(0).alias("_kind"), F.col("copies").cast("int").alias("_part"), F.col("sig").alias("data"))
+    known = reps.select("_chunk", F.lit(0).alias("_kind"), F.col("copies").alias("_part"), F.col("sig").alias("data"))
     segs = text.groupBy("_chunk").cogroup(known.groupBy("_chunk")).applyInArrow(send, SEGMENT)
     side = known.union(add_up(segs, slices, 1, respond).select(*(c.split()[0] for c in ANSWER.split(", "))))
     return text.groupBy("_chunk").cogroup(side.groupBy("_chunk")).applyInArrow(receive, ACTIVE)
@@ -141,17 +141,17 @@ def _prefix_rows(act: DataFrame) -> DataFrame:
     return act.select("sig", "size", "prefix", "prefix_at").mapInArrow(run, "h long, sig binary, size int, at int")
 
 
-def blocks(prefix: DataFrame, rounds: int = 3) -> DataFrame:
+def blocks(prefix: DataFrame, least: int, rounds: int = 3) -> DataFrame:
     """sig, home, salt: documents that share prefix shingles mostly share a home; salt splits large homes. Any
     assignment is right; this one keeps most families in one block."""
     label = prefix.groupBy("sig").agg(F.min("h").alias("home"))
     for _ in range(rounds):
         at_shingle = prefix.join(label, "sig").groupBy("h").agg(F.min("home").alias("home"))
-        label = prefix.join(at_shingle, "h").groupBy("sig").agg(F.min("home").alias("home"))
+        label = spread_join(prefix, at_shingle, "h", least, F.xxhash64("sig")).groupBy("sig").agg(F.min("home").alias("home"))
         label = settle(label)
     size = label.groupBy("home").agg(F.count("*").alias("members"))
     salt = F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / BLOCK_DOCS)).cast("int")
-    return label.join(size, "home").select("sig", "home", salt.alias("salt"))
+    return spread_join(label, size, "home", least, F.xxhash64("sig")).select("sig", "home", salt.alias("salt"))
 
 
 def block_pairs(prefix: DataFrame, placed: DataFrame, threshold: int) -> DataFrame:
@@ -220,12 +220,12 @@ def verify(a: list, b: list | None, threshold: int) -> tuple[np.ndarray, np.ndar
 LINKED = "sig binary, root binary, n_links long"
 
 
-def links(act: DataFrame, threshold: int) -> DataFrame:
+def links(act: DataFrame, threshold: int, least: int) -> DataFrame:
     """Of each linked representative, from each pair of blocks: the root of its local forest and its links (copies counted)."""
     prefix = settle(_prefix_rows(act))
-    shared = prefix.join(prefix.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "h")
+    shared = spread_join(prefix, prefix.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "h", least, F.xxhash64("sig"))
     shared = settle(shared)
-    placed = settle(blocks(shared))
+    placed = settle(blocks(shared, least))
     pairs = settle(block_pairs(shared, placed, threshold))
     full = act.join(placed, "sig").select(F.struct("home", "salt").alias("block"), "sig", "size", "copies", "prefix", "prefix_at", "body")
     cols = ["a", "b", "sig", "size", "copies", "prefix", "prefix_at", "body"]
@@ -256,18 +256,18 @@ def links(act: DataFrame, threshold: int) -> DataFrame:
     return left.union(right).groupBy("a", "b").applyInArrow(run, LINKED)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, least: int) -> DataFrame:
     """node, root: the least node that each node of ``edges`` (x, y) reaches. Each round takes the least label among the
     neighbours, then jumps to the label's own label; its cost is that of a few joins on the nodes, and
-    long chains halve from round to round."""
+    long chains halve from round to round. Nodes with more than ``least`` neighbours and labels of more nodes are spread over tasks."""
     both = edges.filter("x != y").distinct()
     both = settle(both.union(both.select("y", "x")).toDF("x", "y").distinct())
     label = settle(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")).withColumnRenamed("x", "node"))
     while True:
-        near = both.join(label, both.y == label.node).groupBy("x").agg(F.min("root").alias("near"))
+        near = spread_join(both, label.withColumnRenamed("node", "y"), "y", least, F.xxhash64("x")).groupBy("x").agg(F.min("root").alias("near"))
         step = label.join(near, label.node == near.x).select("node", F.least("root", "near").alias("new"), F.col("root").alias("old"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        step = settle(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("root"), "old"))
+        step = settle(spread_join(step, jump, "new", least, F.xxhash64("node"), "left").select("node", F.least("new", F.coalesce("far", "new")).alias("root"), "old"))
         if step.filter("root != old").isEmpty():
             return step.select("node", "root")
         label = step.select("node", "root")
@@ -283,17 +283,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFra
     """
     n_chunks = chunks_for(volume(docs))
     sigs = settle(describe(docs, n, n_chunks))
+    hot = hot_from(sigs.count())
     classes = sigs.filter("n_shingles > 0").groupBy("sig").agg(F.min("_chunk").alias("_chunk"), F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     classes = settle(classes)
     slices = Slices(n_chunks, partitions(docs.sparkSession, n_chunks), 4)
     act = settle(active(deal(docs, n_chunks, "doc_id", "text"), classes, n, threshold, slices))
-    found = settle(links(act, threshold))
-    roots = components(found.select(F.col("sig").alias("x"), F.col("root").alias("y")))
+    found = settle(links(act, threshold, hot))
+    roots = components(found.select(F.col("sig").alias("x"), F.col("root").alias("y")), hot)
     least = classes.select("sig", "copies", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    least = spread_join(least, least.groupBy("root").agg(F.min("least").alias("component_id")), "root", hot, F.xxhash64("sig"))
     least = least.join(found.groupBy("sig").agg(F.sum("n_links").alias("n")), "sig", "left").select("sig", "root", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     some = F.col("n_shingles") > 0
-    return sigs.join(least, "sig", "left").select(
+    return spread_join(sigs, least, "sig", hot, F.monotonically_increasing_id(), "left").select(
         "doc_id", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("n_links")).otherwise(0).alias("n_links"), F.col("sig").alias("class_sig"), "root", "row_key"
     )
 

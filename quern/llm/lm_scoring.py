@@ -109,10 +109,10 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, min_count: int
     def pack_totals(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((_TOTAL, pa.int32()), (0, pa.int32()), (pack64(np.array([row[f"t{i}"] or 0 for i in range(7)])), pa.binary()))], names=["_kind", "_part", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((_TOTAL, pa.int32()), (0, pa.int64()), (pack64(np.array([row[f"t{i}"] or 0 for i in range(7)])), pa.binary()))], names=["_kind", "_part", "data"])
 
     sums = single.mapInArrow(add_totals, ", ".join(f"t{i} long" for i in range(7))).agg(*(F.sum(f"t{i}").alias(f"t{i}") for i in range(7)))
-    one = sums.mapInArrow(pack_totals, "_kind int, _part int, data binary")
+    one = sums.mapInArrow(pack_totals, "_kind int, _part long, data binary")
     totals = one.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_chunk"), "_kind", "_part", "data").repartition(width, "_chunk")
 
     # Bigrams.

@@ -32,11 +32,14 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder."""
+    """The cluster's shared checkpoint folder. On a single machine without such a setting, a temporary one; on a cluster that is an error, as
+    executors couldn't read what others wrote."""
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))  # single machine only
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -56,6 +59,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---------------------------------------------------------------- hot keys
+
+#: Tasks that a hot key's rows are spread over.
+SALTS = 64
+
+
+def hot_from(n_rows: int) -> int:
+    """How many rows make a key hot; fewer than 10,000 keys can hold as many of n_rows each."""
+    return max(500, n_rows // 10_000)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, least: int, by, how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``key`` with ``facts``, which has one row for each key. The rows of keys that more than ``least`` rows hold are
+    spread over SALTS tasks by ``by``, an integer column that the rows' content decides. The keys concerned are few (see hot_from) and are broadcast."""
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key, F.lit(True).alias("_hot")))
+    left = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(by, F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = facts.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 # ---------------------------------------------------------------- hashing in numpy
 
 _U = np.uint64
@@ -216,7 +240,7 @@ def deal(docs: DataFrame, n_chunks: int, *cols: str) -> DataFrame:
 # ---------------------------------------------------------------- counting
 
 SEGMENT = "_part int, _chunk int, vals binary, weights binary"
-ANSWER = "_chunk int, _kind int, _part int, data binary"
+ANSWER = "_chunk int, _kind int, _part long, data binary"
 
 
 class Slices:
@@ -319,7 +343,7 @@ def add_up(segs: DataFrame, slices: Slices, kind: int, respond, n_weights: int =
                 out.append((NOBODY, kind + 100, summary(sums)))
             out = [r for r in out if r[2] is not None]
             yield pa.RecordBatch.from_pydict({
-                "_chunk": pa.array([r[0] for r in out], pa.int32()), "_kind": pa.array([r[1] for r in out], pa.int32()), "_part": pa.array([part] * len(out), pa.int32()), "data": pa.array([r[2] for r in out], pa.binary()),
+                "_chunk": pa.array([r[0] for r in out], pa.int32()), "_kind": pa.array([r[1] for r in out], pa.int32()), "_part": pa.array([part] * len(out), pa.int64()), "data": pa.array([r[2] for r in out], pa.binary()),
             })
         give_back()
 

@@ -14,6 +14,7 @@ outside is what ``start`` puts in none.
 from __future__ import annotations
 
 import base64
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,17 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 def read_vocabulary(spark: SparkSession, path: str):
-    """The vocabulary file as a broadcast, read by Spark so that executors need no local copy."""
-    row = spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("length", "content").first()
-    if row.length > MOST_VOCABULARY:
-        raise ValueError(f"{path} has {row.length} bytes; at most {MOST_VOCABULARY} are broadcast")
-    return spark.sparkContext.broadcast(bytes(row.content))
+    """The vocabulary file as a broadcast, so that executors need no copy: a path without a scheme is read on the driver, any other
+    by Spark."""
+    if "://" in path:
+        row = spark.read.format("binaryFile").load(path).select("length", F.when(F.col("length") <= MOST_VOCABULARY, F.col("content")).alias("content")).first()
+        length, content = row.length, row.content
+    else:
+        length = os.path.getsize(path)
+        content = open(path, "rb").read(MOST_VOCABULARY + 1)
+    if length > MOST_VOCABULARY:
+        raise ValueError(f"{path} has {length} bytes; at most {MOST_VOCABULARY} are broadcast")
+    return spark.sparkContext.broadcast(bytes(content))
 
 
 class Encoder:
