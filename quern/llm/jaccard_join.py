@@ -290,11 +290,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFra
     act = settle(active(deal(docs, n_chunks, "doc_id", "text"), classes, n, threshold, slices))
     found = settle(links(act, threshold, hot))
     roots = components(found.select(F.col("sig").alias("x"), F.col("root").alias("y")), hot)
-    least = classes.select("sig", "copies", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = spread_join(least, least.groupBy("root").agg(F.min("least").alias("component_id")), "root", hot, F.xxhash64("sig"))
-    least = least.join(found.groupBy("sig").agg(F.sum("n_links").alias("n")), "sig", "left").select("sig", "root", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # By class, each step written once, as the next reads it more than once.
+    rooted = settle(classes.select("sig", "copies", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+    named = spread_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root", hot, F.xxhash64("sig"))
+    linked = named.join(found.groupBy("sig").agg(F.sum("n_links").alias("n")), "sig", "left")
+    by_class = settle(linked.select("sig", "root", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     some = F.col("n_shingles") > 0
-    return spread_join(sigs, least, "sig", hot, F.monotonically_increasing_id(), "left").select(
+    return spread_join(sigs, by_class, "sig", hot, F.monotonically_increasing_id(), "left").select(
         "doc_id", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("n_links")).otherwise(0).alias("n_links"), F.col("sig").alias("class_sig"), "root", "row_key"
     )
 
@@ -302,7 +304,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFra
 def one_of_each(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFrame:
     """The rows of ``docs`` without those that repeat, nearly or exactly, another row's text: of each component one row
     with the least doc_id (a null one last) stays. Rows without words all stay."""
-    found = near_duplicates(docs, n, threshold)
+    found = settle(near_duplicates(docs, n, threshold))
     chosen = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("open"), "doc_id", "row_key")).alias("m")).select("m.doc_id", "m.row_key")
     same = found.filter("n_shingles > 0").groupBy("doc_id", "row_key").agg(F.count("*").alias("rows"))
     chosen = settle(chosen.alias("c").join(same.alias("s"), (F.col("c.row_key") == F.col("s.row_key")) & F.col("c.doc_id").eqNullSafe(F.col("s.doc_id"))).select(F.col("c.doc_id").alias("_id"), F.col("c.row_key").alias("_key"), "rows"))
