@@ -47,8 +47,9 @@ def targets(sizes: DataFrame, weight, cap: int) -> DataFrame:
         left, weights, n = total - now[0], now[1], now[2]
         if level == n or not weights:
             break
-        # full: a source that the words left, shared by weight, would lift to its cap or above it
-        level, full = n, full | (F.lit(left).cast(_WIDE) * F.col("weight") >= F.col("most").cast(_WIDE) * F.lit(weights))
+        # full: a source that the words left, shared by weight, would lift to its cap or above it. Taking out full sources never lowers
+        # left / weights, as each takes less than its part, so a source once full stays so and the last condition says it all.
+        level, full = n, F.lit(left).cast(_WIDE) * F.col("weight") >= F.col("most").cast(_WIDE) * F.lit(weights)
     share = (F.lit(left) * F.col("weight")).cast("double") / F.lit(float(max(weights, 1)))
     return rows.select("source", "source_size", F.when(full, F.col("most").cast("double")).otherwise(share).alias("target"))
 

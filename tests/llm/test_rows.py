@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -165,6 +166,20 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(r.t - r.goal) <= 4 for r in got)
 
 
+def test_targets_when_each_round_fills_one_more_source(spark):
+    total, n = 10**12, 25
+    left, parts, sizes, below = Fraction(total), n + 1, [], Fraction(0)
+    for _ in range(n):  # source k is full only at the level that the k sources before it leave
+        level = left / parts
+        sizes.append(int((below + level) / 6) if sizes else int(level / 4))
+        left, parts, below = left - 3 * sizes[-1], parts - 1, level
+    sizes.append(total - sum(sizes))
+    rows = [(f"s{i:02}", size, i) for i, size in enumerate(sizes)]
+    sources = spark.createDataFrame([*rows, ("without words", 0, n + 1)], "source string, source_size long, place long")
+    got = {r.source: r.target for r in mixing.targets(sources, F.lit(1), 3).collect()}
+    assert got == {f"s{i:02}": float(3 * size) for i, size in enumerate(sizes[:-1])} | {f"s{n}": float(total - 3 * sum(sizes[:-1])), "without words": 0.0}
+
+
 def test_mixed_documents(spark, odd_docs):
     plan = {(r.doc_id, r.source): r for r in mixing.mix(odd_docs).collect()}
     got = mixing.mixed_documents(odd_docs.drop("copies"))
